@@ -35,8 +35,21 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a passage: doc_id's words start to end are in the earlier source_doc_id too."""
+    from tidemark.llm.substring_dedup import repeated_passages
+
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    words = F.col("end") - F.col("start")
+    likeness = F.col("matches") / F.greatest(words, F.col("source_end") - F.col("source_start"))
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("source").alias("source_doc_id"),
+        F.col("source_start").alias("source_start_word"), F.col("source_end").alias("source_end_word"), words.alias("n_words"), "matches", likeness.alias("similarity"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op4_near_dedup]
+    found = [op1_exact_dedup, op4_near_dedup, op7_substring_dedup]
     return {f.__name__: f for f in found}
 
 

@@ -29,12 +29,29 @@ from t window w as (partition by h order by n_cp desc, doc_id)
 """
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.near_dedup import near_dedup
 
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.bpe import decoded, digests, encoded
+
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return digests(decoded(encoded(table(spark, sf_dir, "documents"), vocabulary, pattern), vocabulary, pattern))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a passage: doc_id's words start to end are in the earlier source_doc_id too."""
     from tidemark.llm.substring_dedup import repeated_passages
@@ -48,8 +65,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language_id import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
+    prototypes = learn(docs.where("not held_out and doc_id is not null"))
+    return identify(docs, prototypes, ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op4_near_dedup, op7_substring_dedup]
+    found = [op1_exact_dedup, op2_packing, op4_near_dedup, op6_bpe, op7_substring_dedup, op8_language_id]
     return {f.__name__: f for f in found}
 
 

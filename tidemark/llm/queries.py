@@ -37,6 +37,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents that ``labels`` calls good and not toxic."""
+    from tidemark.llm.quality_rules import judge
+
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return judge(table(spark, sf_dir, "documents"), good)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.near_dedup import near_dedup
 
@@ -134,7 +142,7 @@ from e group by conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_packing, op4_near_dedup, op5_url_filter, op6_bpe, op7_substring_dedup, op8_language_id, op9_html_extract, op10_chat_format]
+    found = [op1_exact_dedup, op2_packing, op3_quality_rules, op4_near_dedup, op5_url_filter, op6_bpe, op7_substring_dedup, op8_language_id, op9_html_extract, op10_chat_format]
     return {f.__name__: f for f in found}
 
 

@@ -181,6 +181,7 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame | None = None, *, id_co
     shared = groups.where("n > 1").select("digest", F.col("best.id").alias("keep_id"))
     members = rows.join(shared, "digest").select("id", "digest", "keep_id").distinct()
     full = texts.join(members, "id").withColumn("norm", normalised(F.col("text"))).where(F.substring(F.unhex(F.sha2("norm", 256)), 1, digest_bytes) == F.col("digest"))
+    full = stage(full.select("id", "keep_id", "digest", "norm"), "members")  # the texts are shuffled once
     stays = full.where("id = keep_id").groupBy("digest").agg(F.min("norm").alias("stay_norm"))
     unequal = stage(full.join(stays, "digest").where("norm <> stay_norm").select("digest").distinct(), "unequal")
 

@@ -37,6 +37,7 @@ from tidemark.plans.staging import stage
 BANDS = 40
 PER_BAND = 2  # hash functions a band; each gives a minimum and a maximum
 HUBS = 64
+BROADCAST_PAIRS = 50_000  # two longs each
 RARE = 8  # owners of a shingle up to which it is joined on its own
 SIG = "id long, n long, digest binary, bands array<long>"
 _SEEDS = np.arange(1, 2 * BANDS * PER_BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -86,10 +87,12 @@ def _alike(a: Column, b: Column, common: Column, percent: int) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (u, v), those whose full sets are similar enough."""
-    left, right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
-    both = pairs.join(left, "v").join(right, "u")
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.where(_alike(F.size("su"), F.size("sv"), common, percent)).select("u", "v")
+    right = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
+    if pairs.count() <= BROADCAST_PAIRS:  # then only the sets that are needed are shuffled
+        pairs = F.broadcast(pairs)
+        right = right.join(F.broadcast(pairs.select("u").distinct()), "u")
+    both = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")).join(pairs, "v").join(right, "u")
+    return both.where(_alike(F.size("su"), F.size("sv"), F.size(F.array_intersect("su", "sv")), percent)).select("u", "v")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -101,20 +104,21 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     same = stage(real.select("id", "digest").join(reps, "digest").select("id", "rep", "digest").distinct(), "copies")
 
     own = same.where("id = rep").select("id", "digest")
-    banded = real.join(own, ["id", "digest"], "left_semi").select(F.col("id").alias("rep"), "n", F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band", "size")
+    banded = real.join(own, ["id", "digest"], "left_semi").select(F.col("id").alias("rep"), F.explode("bands").alias("band"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stage(banded.join(sizes, "band"), "shared")
     # A text that the others were made from shares most buckets with most nodes; it makes the best hub.
     degree = shared.groupBy("rep").agg(F.sum("size").alias("degree"))
     ranked = shared.join(degree, "rep")
     hubs = ranked.groupBy("band").agg(F.max_by("rep", "degree").alias("hub"), F.max("degree").alias("hub_degree"))
-    members = stage(ranked.join(hubs, "band").select("band", "rep", "n", "degree", "hub", "hub_degree"), "members")
+    members = stage(ranked.join(hubs, "band").select("band", "rep", "degree", "hub", "hub_degree"), "members")
     wanted = members.select(F.col("rep").alias("id")).distinct()
     sets = stage(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
 
     def joined(labels: DataFrame, pairs: DataFrame, confirm: bool = True) -> DataFrame:
         """``labels`` after the pairs of nodes (u, v) that the sets confirm."""
-        links = stage(_confirmed(pairs, sets, percent) if confirm else pairs, "links")
+        pairs = stage(pairs, "pairs")
+        links = stage(_confirmed(pairs, sets, percent), "links") if confirm else pairs
         if links.isEmpty():
             return labels
         lab = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
@@ -138,17 +142,17 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     # Buckets that still span components: every member outside the bucket's largest component takes
     # its turn as a hub, a block of them a round. Any pair across components has such a member.
-    here = labelled(members.select("band", "rep", "n", "degree"), labels, "rep", "label")
+    here = labelled(members.select("band", "rep", "degree"), labels, "rep", "label")
     parts = here.groupBy("band", "label").count().groupBy("band").agg(F.max_by("label", "count").alias("main"), F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = here.join(parts.where("low <> high").select("band", "main"), "band")
     nth = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("degree"), "rep"))
     outside = mixed.where("label <> main").withColumn("nth", nth)
     inside = mixed.where("label = main").withColumn("nth", F.lit(None).cast("int"))
-    open_ = stage(outside.unionByName(inside).select("band", "rep", "n", "nth"), "open")
+    open_ = stage(outside.unionByName(inside).select("band", "rep", "nth"), "open")
 
     # Rare shingles (few owners among the open nodes) are joined on their own. Without one in common,
     # two nodes share at most what is not rare in either, which rules out most pairs of a bucket.
-    sizes = open_.groupBy("rep").agg(F.first("n").alias("n"))
+    sizes = sets.select(F.col("id").alias("rep"), F.size("shingles").cast("long").alias("n")).join(open_.select("rep").distinct(), "rep", "left_semi")
     hashes = sets.join(sizes.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), F.explode("shingles").alias("h"))
     owners = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.min("rep").alias("rep")).where(f"owners <= {RARE}")
     few = stage(hashes.join(owners.where("owners > 1").select("h"), "h"), "rare")
@@ -159,7 +163,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         met = labelled(met.join(bounds.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("common").alias(f"c{x}")), x), labels, x, f"l{x}")
     most = F.least("cu", "cv") + F.col("met")
     labels = joined(labels, met.where((F.col("lu") != F.col("lv")) & _alike(F.col("nu"), F.col("nv"), most, percent)).select("u", "v"))
-    open_ = stage(open_.join(bounds.drop("n"), "rep").where(f"100 * common >= {percent} * n"), "open")
+    open_ = stage(open_.join(bounds, "rep").where(f"100 * common >= {percent} * n"), "open")
     done, block = 0, HUBS
     while True:
         now = labelled(open_, labels, "rep", "label")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import findings
+from tidemark.operators import findings, windows
 
 
 def modules() -> list:
-    return [findings]
+    return [findings, windows]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import findings, windows
+from tidemark.operators import findings, rollups, windows
 
 
 def modules() -> list:
-    return [findings, windows]
+    return [findings, windows, rollups]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -189,10 +189,10 @@ select brand, case when l = '' then 'missing' when l in ('gpl-3.0', 'agpl-3.0')
 
 
 def baseline_diff(spark, sf_dir):
-    """New and resolved findings by fingerprint; even documents are the baseline, multiples of three the current scan."""
-    key = F.substring(F.sha2(F.concat_ws(":", "file", F.col("line").cast("string"), "type", "severity", "message"), 256), 1, 16)
+    """New and resolved findings by fingerprint; even documents are the baseline, odd ones the current scan."""
+    key = F.substring(F.sha2(F.concat_ws(":", "type", "severity", "message"), 256), 1, 16)
     f = findings(spark, sf_dir).withColumn("fingerprint", key)
-    old, new = f.where("doc_id % 2 = 0").select("fingerprint", "type").distinct(), f.where("doc_id % 3 = 0").select("fingerprint", "type").distinct()
+    old, new = f.where("doc_id % 2 = 0").select("fingerprint", "type").distinct(), f.where("doc_id % 2 = 1").select("fingerprint", "type").distinct()
     both = old.withColumn("o", F.lit(1)).join(new.withColumn("n", F.lit(1)), ["fingerprint", "type"], "full_outer")
     state = F.when(F.col("o").isNull(), "new").when(F.col("n").isNull(), "resolved").otherwise("unchanged")
     return both.select("fingerprint", "type", state.alias("state"))
@@ -275,8 +275,8 @@ QUERIES = {
     "secret_verdicts": (secret_verdicts, SECRET_SQL),
     "redacted_lines": (redacted_lines, "with " + LINES_SQL + r""" select * from (select doc_id, line, regexp_replace(regexp_replace(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '[EMAIL]', 'g'), '(?i)((?:password|passwd|secret|token|api_?key) *[:=] *)[^ ]+', '\1[REDACTED]', 'g') as redacted from lines where true) r where (doc_id, line, redacted) not in (select (doc_id, line, body) from lines)"""),
     "license_classes": (license_classes, LICENSE_SQL),
-    "baseline_diff": (baseline_diff, _q(""", f as (select *, substr(sha256(concat_ws(':', file, line::varchar, type, severity, message)), 1, 16) as fingerprint from findings),
-o as (select distinct fingerprint, type from f where doc_id % 2 = 0), n as (select distinct fingerprint, type from f where doc_id % 3 = 0)
+    "baseline_diff": (baseline_diff, _q(""", f as (select *, substr(sha256(concat_ws(':', type, severity, message)), 1, 16) as fingerprint from findings),
+o as (select distinct fingerprint, type from f where doc_id % 2 = 0), n as (select distinct fingerprint, type from f where doc_id % 2 = 1)
 select coalesce(o.fingerprint, n.fingerprint) as fingerprint, coalesce(o.type, n.type) as type, case when o.type is null then 'new' when n.type is null then 'resolved' else 'unchanged' end as state
 from o full join n on o.fingerprint = n.fingerprint and o.type = n.type""")),
     "heatmap_top": (heatmap, _q(f""", g as (select file, count(*) as n, min({sev.RANK_SQL.format('severity')}) as rank, string_split(file, '/') as p from findings group by file),

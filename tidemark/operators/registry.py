@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import findings, rollups, windows
+from tidemark.operators import findings, graph, joins, rollups, rules, windows
 
 
 def modules() -> list:
-    return [findings, windows, rollups]
+    return [findings, windows, rollups, graph, joins, rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -97,7 +97,7 @@ def assurance_verdicts(spark, sf_dir):
 def compliance_posture(spark, sf_dir):
     """Every nation is a control; suppliers in debt fail it, none leaves it pending."""
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    s = supplier.where("s_nationkey % 5 <> 0").groupBy("s_nationkey").agg(F.count_if(F.col("s_acctbal") < 0).alias("failures"))
+    s = supplier.groupBy("s_nationkey").agg(F.count_if(F.col("s_acctbal") < 0).alias("failures"))
     c = nation.join(s, nation["n_nationkey"] == s["s_nationkey"], "left").select("n_regionkey", F.when(F.col("failures").isNull(), "pending").when(F.col("failures") > 0, "fail").otherwise("pass").alias("state"))
     g = c.groupBy("n_regionkey").agg(*[F.count_if(F.col("state") == x).alias(f"n_{x}") for x in ("pass", "fail", "pending")])
     return g.withColumn("posture_pct", F.round(100.0 * F.col("n_pass") / F.nullif(F.col("n_pass") + F.col("n_fail"), F.lit(0)), 4))
@@ -162,10 +162,10 @@ def snapshot_changes(spark, sf_dir):
 
 
 def content_drift(spark, sf_dir):
-    """Documents of odd ids against those before them by content hash: unchanged, changed."""
+    """Each document against the one with the id before, by content hash: new, unchanged, changed."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     before = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("h").alias("old"))
-    return d.where("doc_id % 2 = 1").join(before, "doc_id", "left").groupBy((F.when(F.col("old").isNull(), "new").when(F.col("h") == F.col("old"), "unchanged").otherwise("changed")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return d.join(before, "doc_id", "left").groupBy((F.when(F.col("old").isNull(), "new").when(F.col("h") == F.col("old"), "unchanged").otherwise("changed")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def scope_sets(spark, sf_dir):
@@ -203,7 +203,7 @@ QUERIES = {
     "cost_by_model": (cost_by_model, _q("select event_type, round(sum(value / 1000 * case when contains(event_type, 'err') then 0.5::double when contains(event_type, 'click') then 0.1::double when contains(event_type, 'c') then 0.2::double else 0.01::double end), 6) as cost from entries group by 1")),
     "budget_status": (budget_status, _q("select user_id, cents, case when cents / 250000 >= 1 then 'exceeded' when cents / 250000 >= 0.9 then 'critical' when cents / 250000 >= 0.75 then 'warning' else 'ok' end as state from (select user_id, sum(round(value * 100)::bigint)::bigint as cents from entries group by user_id)")),
     "assurance_verdicts": (assurance_verdicts, "with e as (select l_orderkey, bool_or(l_returnflag = 'R') as refuted, bool_or(l_returnflag = 'A') as supported from lineitem group by 1) select o_orderpriority as domain, case when refuted then 'disproved' when supported then 'proved' else 'unproven' end as verdict, count(*) as n from orders left join e on o_orderkey = l_orderkey group by 1, 2"),
-    "compliance_posture": (compliance_posture, "with s as (select s_nationkey, count(*) filter (s_acctbal < 0) as failures from supplier where s_nationkey % 5 <> 0 group by 1), c as (select n_regionkey, case when failures is null then 'pending' when failures > 0 then 'fail' else 'pass' end as state from nation left join s on n_nationkey = s_nationkey), g as (select n_regionkey, count(*) filter (state = 'pass') as n_pass, count(*) filter (state = 'fail') as n_fail, count(*) filter (state = 'pending') as n_pending from c group by 1) select *, round(100.0::double * n_pass / nullif(n_pass + n_fail, 0), 4) as posture_pct from g"),
+    "compliance_posture": (compliance_posture, "with s as (select s_nationkey, count(*) filter (s_acctbal < 0) as failures from supplier group by 1), c as (select n_regionkey, case when failures is null then 'pending' when failures > 0 then 'fail' else 'pass' end as state from nation left join s on n_nationkey = s_nationkey), g as (select n_regionkey, count(*) filter (state = 'pass') as n_pass, count(*) filter (state = 'fail') as n_fail, count(*) filter (state = 'pending') as n_pending from c group by 1) select *, round(100.0::double * n_pass / nullif(n_pass + n_fail, 0), 4) as posture_pct from g"),
     "health_score": (health_score, "with g as (select c_mktsegment, count(*) as n, count(*) filter (c_acctbal < 0) as debt, count(*) filter (c_acctbal > 5000) as rich from customer group by 1), s as (select c_mktsegment, floor(greatest(0.0::double, least(100.0::double, 0.35::double * (100.0::double - least(debt * 0.5::double, 60.0::double)) + 0.25::double * (100.0::double * rich / n) + 0.2::double * 80 + 0.1::double * 70 + 0.1::double * 60)))::bigint as score from g) select *, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 60 then 'C' when score >= 40 then 'D' else 'F' end as grade from s"),
     "recency_weights": (recency_weights, _q("select *, rejected > 3 * accepted as skip from (select event_type, round(sum(w) filter (value < 30), 4) as accepted, round(sum(w) filter (value >= 30), 4) as rejected from (select *, exp(-0.693::double * ((epoch(timestamp '2024-02-01') - floor(epoch(ts))) / 86400.0::double) / 30) as w from entries) group by event_type)")),
     "version_drift": (version_drift, "select p_name, p_type, len(s) as versions, array_to_string(s[1:10], ',') as first_versions from (select p_name, p_type, list_sort(list_distinct(list(p_size))) as s from part group by 1, 2) where len(s) > 1"),
@@ -211,7 +211,7 @@ QUERIES = {
     "endpoint_usage": (endpoint_usage, ENDPOINT_SQL),
     "file_languages": (file_languages, "select case doc_id % 7 when 0 then 'python' when 1 then 'go' when 2 then 'rust' when 3 then 'markdown' when 5 then 'typescript' else 'unknown' end as language, count(*) as files, sum(n_chars)::bigint as chars from documents group by 1"),
     "snapshot_changes": (snapshot_changes, "with o as (select *, strftime(o_orderdate, '%Y-%m') as month from orders), a as (select month, o_orderpriority, sum(round(o_totalprice * 100)::bigint)::bigint as c0 from o where o_custkey % 2 = 0 group by 1, 2), b as (select month, o_orderpriority, sum(round(o_totalprice * 100)::bigint)::bigint as c1 from o where o_custkey % 2 = 1 group by 1, 2) select coalesce(a.month, b.month) as month, coalesce(a.o_orderpriority, b.o_orderpriority) as o_orderpriority, coalesce(c0, -1) as c0, coalesce(c1, -1) as c1, case when c0 is null then 'added' when c1 is null then 'removed' when c0 <> c1 then 'changed' else 'unchanged' end as change from a full join b on a.month = b.month and a.o_orderpriority = b.o_orderpriority"),
-    "content_drift": (content_drift, "with d as (select doc_id, sha256(text) as h from documents) select case when b.h is null then 'new' when a.h = b.h then 'unchanged' else 'changed' end as state, count(*) as n from d a left join d b on b.doc_id + 1 = a.doc_id where a.doc_id % 2 = 1 group by 1"),
+    "content_drift": (content_drift, "with d as (select doc_id, sha256(text) as h from documents) select case when b.h is null then 'new' when a.h = b.h then 'unchanged' else 'changed' end as state, count(*) as n from d a left join d b on b.doc_id + 1 = a.doc_id group by 1"),
     "scope_sets": (scope_sets, _q("select user_id, array_to_string(list_sort(list_filter(b, lambda x: not list_contains(a, x))), ',') as gained, array_to_string(list_sort(list_filter(a, lambda x: not list_contains(b, x))), ',') as lost, len(list_filter(a, lambda x: list_contains(b, x))) as common from (select user_id, coalesce(list(distinct event_type) filter (day(ts) <= 15), []) as a, coalesce(list(distinct event_type) filter (day(ts) > 15), []) as b from entries group by user_id)")),
     "hash_chain": (hash_chain, CHAIN_SQL),
 }

@@ -163,7 +163,8 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         met = labelled(met.join(bounds.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("common").alias(f"c{x}")), x), labels, x, f"l{x}")
     most = F.least("cu", "cv") + F.col("met")
     labels = joined(labels, met.where((F.col("lu") != F.col("lv")) & _alike(F.col("nu"), F.col("nv"), most, percent)).select("u", "v"))
-    open_ = stage(open_.join(bounds, "rep").where(f"100 * common >= {percent} * n"), "open")
+    open_ = open_.join(bounds, "rep").where(f"100 * common >= {percent} * n")
+    open_ = stage(open_.join(open_.groupBy("rep").agg(F.collect_set("band").alias("bands")), "rep"), "open")  # 40 bands at most
     done, block = 0, HUBS
     while True:
         now = labelled(open_, labels, "rep", "label")
@@ -171,9 +172,10 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         active = stage(now.join(still, "band", "left_semi"), "active")
         if active.isEmpty():
             break
-        hub = active.where((F.col("nth") > done) & (F.col("nth") <= done + block)).select("band", F.col("rep").alias("u"), F.col("nth").alias("hub_nth"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"))
+        hub = active.where((F.col("nth") > done) & (F.col("nth") <= done + block)).select("band", F.col("rep").alias("u"), F.col("nth").alias("hub_nth"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), F.col("bands").alias("hub_bands"))
         near = f"100 * least(common, hub_common) >= {percent} * (n + hub_n - least(common, hub_common))"
-        pairs = active.join(hub, "band").where(f"label <> hub_label and (nth is null or nth > hub_nth) and {near}")
+        once = "band = array_min(array_intersect(bands, hub_bands))"  # a pair shares several buckets
+        pairs = active.join(hub, "band").where(f"label <> hub_label and (nth is null or nth > hub_nth) and {near} and {once}")
         labels = joined(labels, pairs.select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct())
         done, block = done + block, min(2 * block, 512)
 

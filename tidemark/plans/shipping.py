@@ -9,14 +9,18 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes of an Arrow batch, so that whole texts in flight stay small beside an executor's memory.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once an application."""
+    """Send the package's source to the executors and bound Arrow batches, once an application."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
+    for key, value in ARROW_LIMITS.items():
+        spark.conf.set(key, value)
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if not os.path.isdir(package):  # imported from an archive, which was shipped already
         return

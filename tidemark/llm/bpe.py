@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.caches import claim, register
 from tidemark.llm.chunks import ChunkEncoder
 
 
@@ -119,6 +120,7 @@ class Bpe:
 
 
 _LOADED: dict[tuple[str, str], Bpe] = {}
+register("bpe", _LOADED.clear)
 
 
 def loaded(path: str, pattern: str) -> Bpe:
@@ -132,6 +134,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "do
     """id and ids (binary, little-endian unsigned 32-bit) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         codec = loaded(vocabulary, pattern)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.encode(t.as_py()) for t in batch.column(1)], pa.binary())], [id_col, "ids"])
@@ -143,6 +146,7 @@ def decoded(ids: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc
     """The rows of ``encoded`` with the bytes that their ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         codec = loaded(vocabulary, pattern)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([codec.decode(x.as_py()) for x in batch.column(1)], pa.binary())], [id_col, "ids", "decoded"])

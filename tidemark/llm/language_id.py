@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.caches import claim
+
 DIMENSIONS = 1024
 SYMBOLS = 4096
 #: Labelled documents that the prototypes are learned from, at most (those of the smallest hashes).
@@ -84,6 +86,7 @@ def _groups(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("language")
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
@@ -115,6 +118,7 @@ def identify(texts: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str
     schema = texts.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.caches import claim
 from tidemark.llm.components import components
 from tidemark.llm.words import mix, shingle_set
 from tidemark.plans.staging import stage
@@ -64,6 +65,7 @@ def bands_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("words")
     types = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
     for batch in batches:
         n, digest, bands = [], [], []
@@ -76,6 +78,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("words")
     for batch in batches:
         sets = [shingle_set(text.as_py()).view(np.int64) for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.caches import claim, register
 from tidemark.llm.chunks import ChunkEncoder
 from tidemark.plans.staging import stage
 
@@ -35,6 +36,7 @@ END = 0
 SHARD_ROWS = 20_000
 PIECE = "doc long, row long, start long, length long, ids_crc32 long, doc_tokens long"
 _ENCODERS: dict[str, ChunkEncoder] = {}
+register("packing", _ENCODERS.clear)
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -49,6 +51,7 @@ def encoder(path: str) -> ChunkEncoder:
 
 def _pieces(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         encode, end = encoder(path), np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             rows = []

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from tidemark.llm.caches import register
+
 SHINGLE = 5
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -12,7 +14,7 @@ _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 class WordHashes(dict):
     """Hash of a word, remembered; forgets all when it holds ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
@@ -24,6 +26,7 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+register("words", HASHES.clear)
 
 
 def lower_words(text: str | None) -> list[bytes]:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import findings, graph, joins, logs, rollups, rules, windows
+from tidemark.operators import findings, graph, joins, logs, reports, rollups, rules, windows
 
 
 def modules() -> list:
-    return [findings, windows, rollups, graph, joins, rules, logs]
+    return [findings, windows, rollups, graph, joins, rules, logs, reports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,3 +33,34 @@ def test_text_measures(spark):
     df = spark.createDataFrame([("aabb", "4111111111111111", "GPL-3.0-only"), ("aaaa", "4111111111111112", "MIT"), ("", "79927398713", None)], "s string, d string, l string")
     got = df.select(entropy(F.col("s")).alias("e"), luhn(F.col("d")).alias("ok"), license_status(F.col("l")).alias("l")).collect()
     assert [tuple(r) for r in got] == [(1.0, True, "restricted"), (0.0, False, "allowed"), (0.0, True, "missing")]
+
+
+def test_trees_imports_and_drift(spark, tmp_path):
+    from tidemark.sources.trees import changed, drift, import_edges, read_tree
+
+    files = {"app/__init__.py": "x = 1\n", "app/a.py": "import os\nfrom app.b import f\nimport app\n", "app/b.py": "import app.a\n", "node_modules/z.js": "x", "empty.py": "", "data.bin": "q", "yarn.lock": "x", "web/i.ts": "import y from './z'\n", "README.md": "# hi"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    tree = read_tree(spark, str(tmp_path))
+    got = {r["path"]: r["language"] for r in tree.collect()}
+    assert got == {"app/a.py": "python", "app/b.py": "python", "web/i.ts": "typescript", "README.md": "markdown"}
+    assert {r["path"] for r in read_tree(spark, str(tmp_path), keep_noise=False).collect()} == set(got) - {"README.md"}
+    assert {(r["src"], r["dst"]) for r in import_edges(tree).collect()} == {("app/a.py", "app/b.py"), ("app/b.py", "app/a.py")}
+    before = tree.select("path", F.when(F.col("path") == "app/a.py", "old").otherwise(F.col("md5")).alias("md5")).where("path <> 'web/i.ts'").unionByName(spark.createDataFrame([("gone.py", "m")], "path string, md5 string"))
+    assert {r["path"] for r in changed(tree, before).collect()} == {"app/a.py", "web/i.ts"}
+    assert {r["path"]: r["state"] for r in drift(tree, before).collect() if r["state"] != "unchanged"} == {"app/a.py": "changed", "web/i.ts": "added", "gone.py": "removed"}
+
+
+def test_manifests(spark):
+    from tidemark.sources.manifests import dependencies, drifting
+
+    rows = [
+        ("a/package.json", '{"dependencies": {"react": "^18.2.0"}, "devDependencies": {"jest": "29.0.0"}}'), ("b/package.json", '{"dependencies": {"react": "17.0.1"}}'), ("c/package.json", "{broken"),
+        ("requirements.txt", "# note\nDjango==4.2\nrequests[socks]>=2.0 ; python_version > '3'\n-r other.txt\n\nflask\n"), ("go.mod", "module example.com/x\n\nrequire (\n\tgithub.com/a/b v1.2.3\n)\n"),
+        ("Cargo.toml", '[package]\nname = "x"\n[dependencies]\nserde = "1.0"\ntokio = { version = "1.3", features = [] }\n[dev-dependencies]\nrand = "0.8"\n'), ("other.txt", "Django==1"),
+    ]
+    deps = dependencies(spark.createDataFrame(rows, "path string, content string"))
+    got = {(r["ecosystem"], r["package"], r["version"]) for r in deps.collect()}
+    assert got == {("npm", "react", "18.2.0"), ("npm", "jest", "29.0.0"), ("npm", "react", "17.0.1"), ("pip", "django", "4.2"), ("pip", "requests", "2.0"), ("pip", "flask", ""), ("go", "github.com/a/b", "v1.2.3"), ("cargo", "serde", "1.0"), ("cargo", "tokio", "1.3"), ("cargo", "rand", "0.8")}
+    assert [tuple(r) for r in drifting(deps).collect()] == [("npm", "react", ["17.0.1", "18.2.0"])]

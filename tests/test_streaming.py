@@ -55,3 +55,29 @@ def test_fan_out_reads_a_batch_once(spark, tmp_path):
     stream = read_events(spark, feed(tmp_path))
     fan_out(stream, {"bad": (F.col("status") >= 400, count("bad")), "all": (F.lit(True), count("all"))}, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert seen["all"] == 2 * spark.read.parquet(f"{SF}/events.parquet").count() and 0 < seen["bad"] < seen["all"]
+
+
+def test_sinks(spark, tmp_path):
+    import hashlib
+
+    from tidemark.streaming.sinks import newest, sarif, signed, verify_chain
+
+    f = spark.createDataFrame([("a.py", 3, "email", "high", "m"), ("b.py", 1, "email", "low", "n"), (None, 1, "card", "high", "o")], "file string, line int, type string, severity string, message string")
+    sarif(f, str(tmp_path / "sarif"))
+    assert [r["id"] for r in spark.read.json(str(tmp_path / "sarif/rules")).collect()] == ["email"]
+    assert sorted(r["level"] for r in spark.read.json(str(tmp_path / "sarif/results")).collect()) == ["error", "note"]
+
+    assert [r["line"] for r in newest(f, ["type"], [F.desc("line")], 1).where("type = 'email'").collect()] == [3]
+
+    rows, before = [], ""
+    for k in range(5):
+        h = hashlib.sha256((before + f"b{k}").encode()).hexdigest()
+        rows.append(("l", k, f"b{k}", before, h))
+        before = h
+    schema = "log string, seq int, body string, previous_hash string, entry_hash string"
+    assert verify_chain(spark.createDataFrame(rows, schema)).count() == 0
+    rows[2] = (*rows[2][:2], "forged", *rows[2][3:])
+    assert [r["seq"] for r in verify_chain(spark.createDataFrame(rows, schema)).collect()] == [2]
+
+    got = signed(spark.createDataFrame([("x",), (None,)], "body string"), "key").collect()
+    assert len(got[0]["signature"]) == 64 and got[1]["signature"] is None

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.caches import claim
+from tidemark.llm.sampling import smallest_hashes
 
 DIMENSIONS = 1024
 SYMBOLS = 4096
@@ -100,12 +101,12 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Prototype of each language, from at most ``sample`` labelled documents (more only at ties)."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    cut = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    cut = smallest_hashes(rows.select("h"), "h", sample).agg(F.max(F.xxhash64("h"))).first()[0]
     if cut is None:
         return {}
     # A bounded number of rows in eight parts, so a bounded number of vectors for the driver.
-    found = rows.where(F.col("h") <= F.lit(cut)).select("lang", "text").repartition(8).mapInArrow(_bundles, "lang string, bundle array<double>").collect()
+    found = rows.where(F.xxhash64("h") <= F.lit(cut)).select("lang", "text").repartition(8).mapInArrow(_bundles, "lang string, bundle array<double>").collect()
     out: dict[str, np.ndarray] = {}
     for r in found:
         out[r["lang"]] = out.get(r["lang"], 0) + np.array(r["bundle"])

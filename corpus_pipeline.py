@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.exact_dedup import exact_dedup, normalised
 from tidemark.llm.language_id import identify, learn
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
@@ -30,23 +30,40 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
 
 
-def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The documents that are kept; of rows that share an id, one."""
-    kept = decided.where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def _one(docs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for each combination of ``keys``."""
+    least = docs.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_row"))
+    return least.select("_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal texts."""
+    """One row of each group with equal texts, also where rows share an id or have none."""
     ship(spark)
-    first = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    return _only(docs, exact_dedup(docs.where(~first | F.col("doc_id").isNull()), docs.where(first)))
+    first = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(False))
+    decided = exact_dedup(docs.where(~first), docs.where(first))
+    keys = ["_id", "_none", "_sha"]
+    id_keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    kept = decided.where("kept").select(*id_keys, F.unhex("text_sha256").alias("_sha")).distinct()
+    rows = docs.select("*", *id_keys, F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("_sha"), (-F.char_length(F.coalesce("text", F.lit("")))).alias("_less"))
+    return _one(rows.join(kept, keys, "left_semi"), keys, ["_less", *docs.columns]).select(*docs.columns)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``: the id; a hash beyond all ids for rows without one and for further texts of one id."""
+    text = F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))
+    shared = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_low"), F.max(text).alias("_high")).where("_low <> _high")
+    shared = stage(shared.select("doc_id", "_low"), "shared-ids")
+    far = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND(2**61 - 1) + F.lit(2**62)
+    own = F.col("doc_id").isNotNull() & (F.col("_low").isNull() | (F.col("_low") == text))
+    return docs.join(shared, "doc_id", "left").select(*docs.columns, F.when(own, F.col("doc_id").cast("long")).otherwise(far).alias("_key"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One row of each group of near-duplicates; different texts of one id are judged each."""
     ship(spark)
-    return _only(docs, near_dedup(docs))
+    keyed = _keyed(docs)
+    kept = near_dedup(keyed, id_col="_key").where("kept").select("_key").distinct()
+    return _one(keyed.join(kept, "_key", "left_semi"), ["_key"], docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,19 @@ def test_empty_documents(spark):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    r = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{i}" for i in r.integers(0, 10**6, n))
+    a, b, c, d, e = (text(40) for _ in range(5))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, c), (4, c), (None, d), (None, d), (5, d), (None, e), (None, e + " "), (6, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(x) for x in corpus_pipeline.exact(spark, docs, SF).collect()]
+    assert sorted(out, key=str) == sorted([(1, a), (3, b), (3, c), (5, d), (None, e + " ")], key=str)
+
+    near = [(1, a), (1, a), (2, a + " x"), (3, b), (3, c), (4, c + " x"), (None, d), (None, d + " x"), (None, e)]
+    out = [tuple(x) for x in corpus_pipeline.near(spark, spark.createDataFrame(near, "doc_id long, text string"), SF).collect()]
+    texts = [t for _, t in out]
+    assert len(out) == 5 and (1, a) in out and b in texts and e in texts
+    assert sum(t in (c, c + " x") for t in texts) == 1 and sum(t in (d, d + " x") for t in texts) == 1

@@ -8,7 +8,7 @@ joins the snapshot's exact bucket. Whatever shares a digest is then compared byt
 
 Defined cases: a null text counts as empty, and all texts that are empty after normalisation are
 equal. Rows that repeat (same id, same text) are each a row of the result. Of equal texts the row
-with the most code points before normalisation stays, then the smallest id. Empty batches and
+with the most code points before normalisation stays, then the smallest id, one without an id last. Empty batches and
 snapshots are fine. Columns other than id and text are ignored, so their names cannot clash.
 """
 
@@ -145,7 +145,7 @@ def digest_of(text: Column, digest_bytes: int = 32) -> Column:
 
 def _groups(rows: DataFrame) -> DataFrame:
     """One row a digest: its rows and the best of them."""
-    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("n_cp")).alias("less"), "id")).alias("best"))
+    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("id").isNull().alias("none"), "id")).alias("best"))
 
 
 def exact_dedup(incoming: DataFrame, snapshot: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
@@ -189,8 +189,8 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame | None = None, *, id_co
     if not unequal.isEmpty():
         # Digests that different texts share: those rows are grouped by the whole text instead.
         odd = texts.select("id", "text", normalised(F.col("text")).alias("norm")).withColumn("n_cp", F.char_length("text")).withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("digest", F.substring("sha", 1, digest_bytes)).join(unequal, "digest", "left_semi")
-        whole = odd.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("n_cp")).alias("less"), "id")).alias("best"))
+        whole = odd.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("id").isNull().alias("none"), "id")).alias("best"))
         odd = odd.join(whole, "norm").select("id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), "best", "n_cp", "sha", "digest")
         out = out.join(unequal, "digest", "left_anti").unionByName(odd)
-    kept = (F.col("id") == F.col("keep_id")) & (-F.col("n_cp") == F.col("best.less"))
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (-F.col("n_cp") == F.col("best.less"))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -44,3 +44,10 @@ def test_rows(spark):
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert digests(decoded(encoded(df.limit(0), PATH, P.PATTERN), PATH, P.PATTERN)).count() == 0
+
+
+def test_every_code_point_falls_into_the_same_pieces():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = "".join(f"a{c}a" for c in points[at : at + 4096])
+        assert np.frombuffer(CODEC.plain_text(text), "<u4").tolist() == EXACT.encode_ordinary(text)

@@ -27,6 +27,30 @@ from tidemark.llm.caches import claim, register
 from tidemark.llm.chunks import ChunkEncoder
 
 
+#: Code points that became letters or numbers after Unicode 16, on which the vocabulary's pattern is defined. Fixed values.
+LATER_LETTERS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 "
+    "1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATER_NUMBERS = (
+    "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+)
+
+
+def _code_points(ranges: str) -> str:
+    """The ranges as the inside of a character set."""
+    return "".join("-".join(f"\\U{int(end, 16):08X}" for end in r.split("-")) for r in ranges.split())
+
+
+def of_unicode_16(pattern: str) -> str:
+    """``pattern`` with its letters and numbers (``\\p{L}``, ``\\p{N}``) as of Unicode 16, whatever ``regex`` knows."""
+    for name, later in (("L", LATER_LETTERS), ("N", LATER_NUMBERS)):
+        pattern = pattern.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}--[{_code_points(later)}]]")
+    return f"(?V1){pattern}"
+
+
 def plain_bpe(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids by merging the lowest-ranked adjacent pair until none is in the vocabulary."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -46,7 +70,8 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_pairs: int = 1_000_000):
         import ahocorasick
 
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.pattern, self.exact = ranks, regex.compile(pattern), regex.compile(of_unicode_16(pattern))
+        self.later = regex.compile(f"[{_code_points(LATER_LETTERS + ' ' + LATER_NUMBERS)}]")
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -107,7 +132,8 @@ class Bpe:
 
     def plain_text(self, text: str) -> bytes:
         ids: list[int] = []
-        for piece in self.pattern.findall(text):
+        pattern = self.exact if not text.isascii() and self.later.search(text) else self.pattern
+        for piece in pattern.findall(text):
             ids += self.piece_ids(piece.encode("utf-8", "surrogatepass"))
         return np.array(ids, dtype="<u4").tobytes()
 

@@ -74,3 +74,12 @@ def test_combinations_and_least_squares():
     assert (got >= 0).all() and np.linalg.norm(a @ got - b) < 1e-4
     got = nnls(a, -b)
     assert np.linalg.norm(got) == 0
+
+
+def test_lengths_that_no_others_complete_are_cut(spark):
+    rows = [(i, "the " * n) for i, n in enumerate([600, 601, 650, 700, 590] * 60)]
+    n = check(rows, got := pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect())
+    tokens = sum(p["length"] for p in got)
+    assert n <= -(-tokens // 1024) + 4
+    by_doc = Counter(p["doc_id"] for p in got)
+    assert max(by_doc.values()) <= 2

@@ -18,6 +18,7 @@ are packed each. An empty table has no pieces. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,6 +37,7 @@ UNIT = 8
 DEPTH = 3
 END = 0
 SHARD_ROWS = 20_000
+KNOWN_WORDS = 1_000_000  # whose ids a worker remembers
 LEAST_FILL = 127 / 128  # of a window that whole pieces fill; below, pieces are cut
 PIECE = "doc long, row long, start long, length long, ids_crc32 long, doc_tokens long"
 NAMES = ["doc", "row", "start", "length", "ids_crc32", "doc_tokens"]
@@ -49,10 +51,21 @@ def encoder(path: str) -> ChunkEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _ENCODERS[path] = ChunkEncoder(lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        _ENCODERS[path] = ChunkEncoder(lambda s: array("I", tokenizer.encode(s, add_special_tokens=False).ids).tobytes(), most=KNOWN_WORDS)
     return _ENCODERS[path]
 
 
+def narrow(ids: bytes) -> bytes:
+    """Ids of 32 bits in 16 where they fit."""
+    wide = np.frombuffer(ids, dtype="<u4")
+    return wide.astype("<u2").tobytes() if wide.max(initial=0) < 2**16 else ids
+
+
+def widened(ids: bytes, n: int) -> bytes:
+    """Undoes ``narrow`` for ``n`` ids."""
+    return ids if len(ids) == 4 * n else np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
+
+
 def _pieces(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("packing")
@@ -64,7 +77,7 @@ def _pieces(path: str, window: int):
                 total = len(ids) // 4
                 for at in range(0, total, window):
                     cut = ids[4 * at : 4 * (at + window)]
-                    rows.append((doc, row, at, len(cut) // 4, zlib.crc32(cut), total, None if len(cut) == 4 * window else cut))
+                    rows.append((doc, row, at, len(cut) // 4, zlib.crc32(cut), total, None if len(cut) == 4 * window else narrow(cut)))
             kinds = [pa.int64()] * 6 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], [*NAMES, "ids"])
 
@@ -190,9 +203,11 @@ def _cut(window: int):
         for batch in batches:
             rows = []
             for doc, start, length, crc, total, shard, at, ids in zip(*(batch.column(n).to_pylist() for n in ("doc", "start", "length", "ids_crc32", "doc_tokens", "shard", "at")), batch.column("ids"), strict=True):
-                done, packed = 0, ids.as_py()
+                done, packed = 0, None
                 while done < length:
                     take = min(length - done, window - (at + done) % window)
+                    if take < length and packed is None:
+                        packed = widened(ids.as_py(), length)
                     part = crc if take == length else zlib.crc32(packed[4 * done : 4 * (done + take)])
                     rows.append((doc, start + done, take, part, total, (shard << 32) + (at + done) // window, (at + done) % window))
                     done += take

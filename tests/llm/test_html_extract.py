@@ -1,4 +1,7 @@
-from tidemark.llm.html_extract import extract, main_text
+import random
+import time
+
+from tidemark.llm.html_extract import SURGE, WINDOW, between_surge_and_dive, extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- ad <p>no</p> --><div class="ad">Buy a lot of things now.</div>
@@ -35,3 +38,59 @@ def test_rows(spark):
     assert got[1]["n_chars"] == len(main_text(PAGE)) and got[2]["text"] == got[3]["text"] == "" and got[4]["n_chars"] == 499_999 and extract(df).count() == 5
     assert extract(df.limit(0)).count() == 0
     assert extract(df.withColumnRenamed("url", "text")).columns == ["page_id", "text", "n_chars"]
+
+
+def brute_kept(weights):
+    """Straight from the rule: surges, what leads to them, dives."""
+    n = len(weights)
+    total = lambda i: sum(w for k, w in enumerate(weights) if i <= k < i + WINDOW)
+    least = min(SURGE, max((total(i) for i in range(n)), default=0))
+    inside = set()
+    for i in range(n):
+        if total(i) >= least > 0:
+            k = i
+            while k < n and total(k) > 0:
+                inside.add(k)
+                k += 1
+            k = i - 1
+            while k >= 0 and weights[k] > 0:
+                inside.add(k)
+                k -= 1
+    return [i in inside and weights[i] > 0 for i in range(n)]
+
+
+def test_surge_and_dive_against_brute_force():
+    r = random.Random(4)
+    for _ in range(3000):
+        weights = [r.choice([0, 0, 0, 1, 5, 30, 79, 80, 200]) for _ in range(r.randrange(0, 25))]
+        assert between_surge_and_dive(weights) == brute_kept(weights), weights
+
+
+def test_names_count_as_whole_tokens():
+    for name in ('class="social-history"', 'class="sharing-economy"', 'id="comments-on-the-law"', 'class="addendum"'):
+        assert main_text(f"<article><h1>T</h1><div {name}><p>Stays here.</p></div></article>") == "T Stays here."
+    assert main_text('<article><h2 class="menu">Menu of the day</h2><p>Soup.</p></article>') == "Menu of the day Soup."
+    for name in ('class="comment-list"', 'id="cookie-notice"', 'class="x ad-1"', 'class="site-nav"', 'role="navigation"'):
+        assert main_text(f"<article><h1>T</h1><div {name}><p>Goes away.</p></div><p>Stays.</p></article>") == "T Stays."
+
+
+def test_the_distribution_decides_inside_articles_too():
+    links = "".join(f'<li><a href="/{i}">link {i}</a></li>' for i in range(5))
+    assert main_text(f"<article><h1>T</h1><p>One.</p><ul>{links}</ul><p>Two.</p></article>") == "T One. Two."
+    assert main_text('<article><p>One.</p><p><a href="/">source</a></p><p>Two.</p></article>') == "One. source Two."
+    far = "long text outside " * 60
+    assert main_text(f"<article><p>In.</p></article><p>Buy.</p><nav>n</nav><p>{far}</p>").endswith("outside") and "Buy" not in main_text(f"<article><p>In.</p></article><p>Buy.</p><nav>n</nav><p>{far}</p>")
+
+
+def test_short_lines_before_the_surge_stay():
+    body = "".join(f"<p>{'long text here ' * 12}{i}</p>" for i in range(3))
+    assert main_text(f"<header>site</header><p>Short.</p><p>Also short.</p>{body}").startswith("Short. Also short. long")
+
+
+def test_hostile_pages_are_linear():
+    n = 200_000
+    pages = ["<a " * n, "<a \"" * n + ">", "<a '>\"" * n, "<" * n, "<!--" * n, "<!" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<div>" + "<b>" * n + "<p></p>" * n, "<script " * n + ">", "</x>" * n, "<div>" * n + "</p>" * n, "&amp" * n, "<p class='" + "ad " * n + "'>x"]
+    for page in pages:
+        began = time.time()
+        assert isinstance(main_text(page), str)
+        assert time.time() - began < 5, page[:20]

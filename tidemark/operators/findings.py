@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import severity as sev
 from tidemark.functions.paths import noise
 from tidemark.functions.text import classes, entropy, keep_four, license_status, luhn
+from tidemark.plans.folds import fold_groups
 from tidemark.plans.tables import table
 
 #: agent, type, severity, weakness, pattern; first match of a line counts. Fixed values.
@@ -87,7 +88,7 @@ def worst_first_page(spark, sf_dir):
 
 def noise_report(spark, sf_dir):
     f = findings(spark, sf_dir).withColumn("category", F.coalesce(noise(F.col("file")), F.lit("source")))
-    return f.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") != "info").alias("capped"))
+    return f.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("severity") != "info") & (F.col("category") != "source")).alias("capped"))
 
 
 def noise_capped(spark, sf_dir):
@@ -100,7 +101,7 @@ NOISE_SQL = "case when regexp_matches(file, '/docs/') then 'docs' when regexp_ma
 
 
 def merged(spark, sf_dir):
-    """One row a file and type: confirmations, worst severity, composite score."""
+    """One row a file and weakness: confirmations, worst severity, composite score."""
     f = findings(spark, sf_dir).withColumn("rank", sev.rank(F.col("severity")))
     g = f.groupBy("file", "cwe").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("confirmed_by"), F.min("rank").alias("rank"), F.countDistinct("type").alias("confirmations"), F.min("line").alias("line"), F.count(F.lit(1)).alias("n"))
     worst = F.element_at(F.array(*map(F.lit, sev.NAMES)), F.col("rank") + 1)
@@ -234,21 +235,21 @@ def suppressed(spark, sf_dir):
     return f.join(ignores, ["doc_id", "line"], "left_anti").groupBy("type").agg(F.count(F.lit(1)).alias("kept"))
 
 
-def tolerance_groups(spark, sf_dir):
-    """Findings of a file and weakness within five lines of a group's first line are one group.
-
-    The anchor does not move, so this is an ordered fold: a group's lines are folded in an array.
-    """
-    f = findings(spark, sf_dir).groupBy("file", "cwe").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    empty = F.array().cast("array<struct<first:bigint,n:bigint>>")
+def line_groups(rows: DataFrame, keys: list[str], tolerance: int = 5) -> DataFrame:
+    """Rows of one key within ``tolerance`` lines of a group's first line are one group; that line does not move."""
 
     def step(groups, line):
-        last = F.element_at(groups, -1)
-        fits = (F.size(groups) > 0) & (line - F.get(groups, F.size(groups) - 1)["first"] <= 5)
-        grown = F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"))))
-        return F.when(fits, grown).otherwise(F.concat(groups, F.array(F.struct(line.alias("first"), F.lit(1).cast("long").alias("n")))))
+        if groups and line - groups[-1][0] <= tolerance:
+            groups[-1][1] += 1
+        else:
+            groups.append([line, 1])
+        return groups
+
+    return fold_groups(rows, keys, ["line"], ["line"], list, step, lambda groups: [tuple(g) for g in groups], "first_line long, n long")
 
-    return f.select("file", "cwe", F.explode(F.aggregate("lines", empty, step)).alias("g")).select("file", "cwe", F.col("g.first").alias("first_line"), F.col("g.n").alias("n"))
+
+def tolerance_groups(spark, sf_dir):
+    return line_groups(findings(spark, sf_dir), ["file", "cwe"])
 
 
 TOLERANCE_SQL = "with recursive " + FINDINGS_SQL + """, o as (select file, cwe, line, row_number() over (partition by file, cwe order by line) as r from findings),
@@ -266,7 +267,7 @@ QUERIES = {
     "severity_counts": (severity_counts, _q(f"select severity, count(*) as n, count(distinct file) as files, {sev.RANK_SQL.format('severity')} as rank from findings group by severity")),
     "counts_by_agent_and_type": (counts_by_agent_and_type, _q("select agent, type, severity, count(*) as n from findings group by all")),
     "worst_first_page": (worst_first_page, _q(f"select severity, file, line, type, (select count(*) from findings) as total from findings order by {sev.RANK_SQL.format('severity')}, file, line, type limit 50 offset 50")),
-    "noise_report": (noise_report, _q(f"select coalesce({NOISE_SQL}, 'source') as category, count(*) as n, count(*) filter (severity <> 'info') as capped from findings group by 1")),
+    "noise_report": (noise_report, _q(f"select coalesce({NOISE_SQL}, 'source') as category, count(*) as n, count(*) filter (severity <> 'info' and {NOISE_SQL} is not null) as capped from findings group by 1")),
     "noise_capped": (noise_capped, _q(f"select file, line, type, case when {NOISE_SQL} is not null then 'info' else severity end as severity, {NOISE_SQL} as noise_category from findings")),
     "merged_findings": (merged, "with " + MERGED_SQL + f" select file, cwe, confirmed_by, confirmations, line, n, severity, {SCORE_SQL} as score from merged"),
     "owasp_rollup": (owasp_rollup, _q(f"select {sev.sql_case('cwe', OWASP, 'A05 Security Misconfiguration')} as category, count(*) as n from findings group by 1")),

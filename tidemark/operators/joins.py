@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,12 +10,24 @@ from tidemark.operators.windows import ENTRIES_SQL, log
 from tidemark.plans.tables import table
 
 
+def nearest(rows: DataFrame, keys: list[str], at: str, id_: str, asks: Column, offers: Column) -> DataFrame:
+    """For each row that ``asks`` the nearest row of its keys that ``offers``, the earlier and smaller one at ties.
+
+    One ordered pass in each direction: no pairs of a key's rows are made.
+    """
+    offer = F.when(offers, F.struct(F.col(at).alias("at"), F.col(id_).alias("id")))
+    before = F.max(offer).over(Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(offer).over(Window.partitionBy(*keys).orderBy(at).rangeBetween(0, Window.unboundedFollowing))
+    seen = rows.withColumns({"_before": before, "_after": after}).where(asks)
+    least = rows.where(offers).groupBy(*keys, F.col(at).alias("_at")).agg(F.min(id_).alias("_id"))  # of one moment the smallest id
+    gap = F.when(F.col("_after.at").isNull() | (F.col(at) - F.col("_before.at") <= F.col("_after.at") - F.col(at)), F.col("_before.at")).otherwise(F.col("_after.at"))
+    return seen.withColumn("_at", gap).join(least, [*keys, "_at"]).select(id_, F.col("_id").alias("nearest"), F.abs(F.col(at) - F.col("_at")).alias("gap"))
+
+
 def nearest_event(spark, sf_dir):
     """Of each user's errors, the purchase of that user nearest in time (the earlier one at ties)."""
-    e = log(spark, sf_dir)
-    errors, buys = e.where("event_type = 'error'").select("event_id", "user_id", "us"), e.where("event_type = 'purchase'").select(F.col("event_id").alias("buy"), "user_id", F.col("us").alias("buy_us"))
-    gap = F.abs(F.col("us") - F.col("buy_us"))
-    return errors.join(buys, "user_id").groupBy("event_id").agg(F.min(F.struct(gap.alias("gap"), "buy_us", "buy")).alias("m")).select("event_id", F.col("m.buy").alias("purchase"), F.col("m.gap").alias("gap_us"))
+    n = nearest(log(spark, sf_dir), ["user_id"], "us", "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase")
+    return n.select("event_id", F.col("nearest").alias("purchase"), F.col("gap").alias("gap_us"))
 
 
 def asof_purchase(spark, sf_dir):
@@ -36,11 +49,11 @@ def banded_matches(spark, sf_dir):
 POPULAR = ["small ring", "red widget", "blue bolt", "large gear"]
 
 
-def typosquats(spark, sf_dir):
+def typosquats(spark, sf_dir, edits: int = 2):
     """Names within two edits of a popular one but not equal to any; the nearest, then the first."""
     p = table(spark, sf_dir, "part").select("p_name").distinct()
     popular = F.explode(F.array(*map(F.lit, POPULAR)))
-    near = p.where(~F.col("p_name").isin(POPULAR)).select("p_name", popular.alias("popular")).withColumn("edits", F.levenshtein("p_name", "popular", 5)).where("edits >= 0")
+    near = p.where(~F.col("p_name").isin(POPULAR)).select("p_name", popular.alias("popular")).withColumn("edits", F.levenshtein("p_name", "popular", edits)).where("edits >= 0")
     return near.groupBy("p_name").agg(F.min(F.struct("edits", "popular")).alias("m")).select("p_name", F.col("m.popular").alias("popular"), F.col("m.edits").cast("long").alias("edits"))
 
 
@@ -113,7 +126,7 @@ QUERIES = {
     "nearest_event": (nearest_event, _q("select a.event_id, b.event_id as purchase, abs(a.us - b.us) as gap_us from entries a join entries b on a.user_id = b.user_id and a.event_type = 'error' and b.event_type = 'purchase' qualify row_number() over (partition by a.event_id order by abs(a.us - b.us), b.us, b.event_id) = 1")),
     "asof_purchase": (asof_purchase, _q("select a.event_id, b.event_id as purchase from entries a join entries b on a.user_id = b.user_id and a.event_type = 'error' and b.event_type = 'purchase' and (b.us < a.us or b.us = a.us and b.event_id <= a.event_id) qualify row_number() over (partition by a.event_id order by b.us desc, b.event_id desc) = 1")),
     "banded_matches": (banded_matches, _q("select a.event_id, b.event_id as purchase from entries a join entries b on a.user_id = b.user_id and a.event_type = 'error' and b.event_type = 'purchase' and abs(a.us - b.us) <= 3600000000")),
-    "typosquats": (typosquats, f"with d as (select distinct p_name from part), n as (select p_name, popular, levenshtein(p_name, popular) as edits from d, (select unnest({POPULAR}) as popular) where p_name not in {tuple(POPULAR)}) select p_name, popular, edits from n where edits <= 5 qualify row_number() over (partition by p_name order by edits, popular) = 1"),
+    "typosquats": (typosquats, f"with d as (select distinct p_name from part), n as (select p_name, popular, levenshtein(p_name, popular) as edits from d, (select unnest({POPULAR}) as popular) where p_name not in {tuple(POPULAR)}) select p_name, popular, edits from n where edits <= 2 qualify row_number() over (partition by p_name order by edits, popular) = 1"),
     "code_owners": (code_owners, f"select page_id, case when starts_with({_PATH}, '/fr/1') then 'french-one' when starts_with({_PATH}, '/en') then 'english' when starts_with({_PATH}, '/de') then 'german' when starts_with({_PATH}, '/fr') then 'french' when starts_with({_PATH}, '/') then 'everyone' else 'nobody' end as owner from pages"),
     "orphans": (orphans, "select 'customer' as kind, c_custkey as key from customer where c_custkey not in (select o_custkey from orders) union all select 'order', o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal >= 0)"),
     "contract_diff": (contract_diff, _q(", e as (select user_id, event_type, hour(ts) as hour from entries where value > 60), a as (select distinct event_type, hour from e where user_id % 2 = 0), b as (select distinct event_type, hour from e where user_id % 2 = 1) select coalesce(a.event_type, b.event_type) as event_type, coalesce(a.hour, b.hour) as hour, case when a.hour is null then 'only odd' when b.hour is null then 'only even' else 'both' end as state from a full join b on a.event_type = b.event_type and a.hour = b.hour").replace("events) ,", "events),")),

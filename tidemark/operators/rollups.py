@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,24 +11,18 @@ from pyspark.sql.window import Window
 from tidemark.functions.paths import endpoint, language
 from tidemark.operators.windows import log
 from tidemark.operators.windows import ENTRIES_SQL
+from tidemark.plans.folds import fold_groups
 from tidemark.plans.tables import table
 
 
-def at_index(values, share: float, cap: bool = False):
-    """The value at index int(n * share) of the sorted array, from 0; with ``cap`` the last at most."""
-    n = F.size(values)
-    k = F.floor(n * F.lit(share)).cast("int")
-    return F.get(values, F.least(k, n - 1) if cap else k)
-
-
 def value_profile(spark, sf_dir):
-    """Per type: count, sum, p50 and p95 by index, mode of the user, last event.
-
-    Arrays hold the doubles of one group; for groups too large for a task, ``indexed_percentile`` below
-    finds the same values by rank.
-    """
-    e = log(spark, sf_dir).groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("v"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max_by("event_id", F.struct("us", "event_id")).alias("last_event"))
-    return e.select("event_type", "n", "total", at_index(F.col("v"), 0.5).alias("p50"), at_index(F.col("v"), 0.95).alias("p95"), "last_event")
+    """Per type: count, sum, p50 and p95 by index, the most frequent user (the smallest at ties), last event."""
+    e = log(spark, sf_dir)
+    sums = e.groupBy("event_type").agg(F.round(F.sum("value"), 4).alias("total"), F.max_by("event_id", F.struct("us", "event_id")).alias("last_event"))
+    users = e.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("c"))
+    modes = users.groupBy("event_type").agg(F.min_by("user_id", F.struct((-F.col("c")).alias("c"), "user_id")).alias("mode_user"))
+    shares = indexed_percentile(e, "event_type", "value", [0.5, 0.95]).select("event_type", "n", "p50", "p95")
+    return shares.join(sums, "event_type").join(modes, "event_type")
 
 
 def indexed_percentile(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
@@ -66,7 +62,7 @@ def flaky_users(spark, sf_dir):
     """Users with errors and successes: runs, failures, the newest result, quarantine from half on."""
     e = log(spark, sf_dir).withColumn("failed", (F.col("status") >= 500).cast("long"))
     g = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.sum("failed").alias("failures"), F.max_by("failed", F.struct("us", "event_id")).alias("newest"))
-    return g.where("runs >= 5 and failures > 0 and failures < runs").withColumn("quarantined", F.col("failures") * 10 >= F.col("runs") * 3)
+    return g.where("runs >= 5 and failures > 0 and failures < runs").withColumn("quarantined", F.col("failures") * 2 >= F.col("runs"))
 
 
 def cost_by_model(spark, sf_dir):
@@ -103,14 +99,19 @@ def compliance_posture(spark, sf_dir):
     return g.withColumn("posture_pct", F.round(100.0 * F.col("n_pass") / F.nullif(F.col("n_pass") + F.col("n_fail"), F.lit(0)), 4))
 
 
+def health(components: dict[str, tuple], least: float = 0.0, most: float = 100.0):
+    """(score, grade) of weighted components (weight, value), clamped and rounded down."""
+    total = sum((weight * value for weight, value in components.values()), F.lit(0.0))
+    score = F.floor(F.greatest(F.lit(least), F.least(F.lit(most), total))).cast("long")
+    return score, F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").when(score >= 40, "D").otherwise("F")
+
+
 def health_score(spark, sf_dir):
-    """Weighted components a segment, clamped, with a grade."""
-    c = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("debt"), F.count_if(F.col("c_acctbal") > 5000).alias("rich"))
-    security = 100.0 - F.least(F.col("debt") * 0.5, F.lit(60.0))
-    coverage = 100.0 * F.col("rich") / F.col("n")
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 0.35 * security + 0.25 * coverage + 0.2 * 80.0 + 0.1 * 70.0 + 0.1 * 60.0))
-    out = c.select("c_mktsegment", F.floor(score).cast("long").alias("score"))
-    return out.withColumn("grade", F.when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B").when(F.col("score") >= 60, "C").when(F.col("score") >= 40, "D").otherwise("F"))
+    """A segment's health: security with capped deductions, and four shares of its customers."""
+    c = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(when).alias(name) for name, when in (("debt", F.col("c_acctbal") < 0), ("rich", F.col("c_acctbal") > 5000), ("used", F.col("c_acctbal") > 500), ("near", F.col("c_nationkey") < 20), ("even", F.col("c_custkey") % 2 == 0))])
+    share = lambda name: 100.0 * F.col(name) / F.col("n")
+    score, grade = health({"security": (0.35, 100.0 - F.least(F.col("debt") * 0.5, F.lit(60.0))), "coverage": (0.25, share("rich")), "dead code": (0.2, share("used")), "dependencies": (0.1, share("near")), "contracts": (0.1, share("even"))})
+    return c.select("c_mktsegment", score.alias("score"), grade.alias("grade"))
 
 
 def recency_weights(spark, sf_dir):
@@ -140,10 +141,8 @@ def endpoint_usage(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(endpoint(path).alias("endpoint")).agg(F.count(F.lit(1)).alias("calls"))
 
 
-ENDPOINT_SQL = r"""with p as (select regexp_replace(regexp_replace(regexp_extract(url, '://[^/?#]*(.*)$', 1), '[?#].*$', ''), '^\.\.?/', '') as x from pages),
-q as (select regexp_replace(regexp_replace(regexp_replace(x, ':\w+', ':param', 'g'), '\{\w+\}', ':param', 'g'), '\[\w+\]', ':param', 'g') as x from p),
-r as (select regexp_replace(regexp_replace(regexp_replace(x, '/\d+(?:/|$)', '/:param', 'g'), '/[0-9a-f]{8,}(?:/|$)', '/:param', 'g'), '/+$', '') as x from q)
-select case when starts_with(x, '/') then x else '/' || x end as endpoint, count(*) as calls from r group by 1"""
+ENDPOINT_SQL = r"""with p as (select list_filter(string_split(split_part(split_part(regexp_extract(url, '://[^/?#]*(.*)$', 1), '?', 1), '#', 1), '/'), lambda x: x not in ('', '.', '..')) as s from pages)
+select '/' || array_to_string(list_transform(s, lambda x: case when regexp_full_match(x, '[0-9]+|[0-9a-f]{8,}') then ':param' else regexp_replace(x, ':\w+|\{\w+\}|\[\w+\]', ':param', 'g') end), '/') as endpoint, count(*) as calls from p group by 1"""
 
 
 def file_languages(spark, sf_dir):
@@ -176,11 +175,18 @@ def scope_sets(spark, sf_dir):
     return g.select("user_id", text(F.array_except("b", "a")).alias("gained"), text(F.array_except("a", "b")).alias("lost"), F.size(F.array_intersect("a", "b")).cast("long").alias("common"))
 
 
+def chain_heads(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Length and last hash of each key's audit chain: every entry's hash covers the one before."""
+
+    def step(state, *values):
+        n, head = state
+        return n + 1, hashlib.sha256((head + "".join(map(str, values))).encode()).hexdigest()
+
+    return fold_groups(rows, keys, order, values, lambda: (0, ""), step, lambda s: [s], "n long, head string")
+
+
 def hash_chain(spark, sf_dir):
-    """The audit chain of each user: every entry's hash covers the one before; the last hash and length."""
-    e = log(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("es"))
-    link = lambda h, e: F.sha2(F.concat(h, e["event_id"].cast("string"), e["event_type"]), 256)
-    return e.select("user_id", F.size("es").cast("long").alias("n"), F.aggregate("es", F.lit(""), link).alias("head"))
+    return chain_heads(log(spark, sf_dir), ["user_id"], ["event_id"], ["event_id", "event_type"])
 
 
 CHAIN_SQL = f"""with recursive {ENTRIES_SQL}, o as (select user_id, event_id || event_type as t, row_number() over (partition by user_id order by event_id) as r from entries),
@@ -194,17 +200,17 @@ def _q(body: str) -> str:
 
 _P = lambda s: f"list_sort(list(value))[least(floor(count(*) * {s}::double)::bigint, count(*) - 1) + 1]"
 QUERIES = {
-    "value_profile": (value_profile, _q(f"select event_type, count(*) as n, round(sum(value), 4) as total, {_P(0.5)} as p50, {_P(0.95)} as p95, arg_max(event_id, (us, event_id)) as last_event from entries group by event_type")),
+    "value_profile": (value_profile, _q(f"select event_type, count(*) as n, round(sum(value), 4) as total, {_P(0.5)} as p50, {_P(0.95)} as p95, arg_max(event_id, (us, event_id)) as last_event, (select user_id from entries x where x.event_type = entries.event_type group by user_id order by count(*) desc, user_id limit 1) as mode_user from entries group by event_type")),
     "latency_report": (latency_report, _q(f"select event_type, count(*) as n, min(value) as least, max(value) as most, {_P(0.5)} as p50, {_P(0.9)} as p90, {_P(0.95)} as p95, {_P(0.99)} as p99 from entries group by event_type")),
     "daily_trend": (daily_trend, _q("select strftime(ts, '%Y-%m-%d') as day, " + ", ".join(f"count(*) filter (event_type = '{t}') as {t}" for t in ("error", "click", "purchase", "signup", "view")) + ", max(value) as highest from entries group by 1")),
     "trend_direction": (trend_direction, _q("select day, errors, case when before is null then 'first' when errors < before then 'improving' when errors > before then 'regressing' else 'stable' end as trend from (select *, lag(errors) over (order by day) as before from (select strftime(ts, '%Y-%m-%d') as day, count(*) filter (status >= 500) as errors from entries group by 1))")),
     "metric_series": (metric_series, "select event_id, json_extract_string(props, '$.k')::bigint as k from events where json_extract_string(props, '$.k')::bigint >= 90"),
-    "flaky_users": (flaky_users, _q("select *, failures * 10 >= runs * 3 as quarantined from (select user_id, count(*) as runs, count(*) filter (status >= 500) as failures, arg_max((status >= 500)::bigint, (us, event_id)) as newest from entries group by user_id) where runs >= 5 and failures > 0 and failures < runs")),
+    "flaky_users": (flaky_users, _q("select *, failures * 2 >= runs as quarantined from (select user_id, count(*) as runs, count(*) filter (status >= 500) as failures, arg_max((status >= 500)::bigint, (us, event_id)) as newest from entries group by user_id) where runs >= 5 and failures > 0 and failures < runs")),
     "cost_by_model": (cost_by_model, _q("select event_type, round(sum(value / 1000 * case when contains(event_type, 'err') then 0.5::double when contains(event_type, 'click') then 0.1::double when contains(event_type, 'c') then 0.2::double else 0.01::double end), 6) as cost from entries group by 1")),
     "budget_status": (budget_status, _q("select user_id, cents, case when cents / 250000 >= 1 then 'exceeded' when cents / 250000 >= 0.9 then 'critical' when cents / 250000 >= 0.75 then 'warning' else 'ok' end as state from (select user_id, sum(round(value * 100)::bigint)::bigint as cents from entries group by user_id)")),
     "assurance_verdicts": (assurance_verdicts, "with e as (select l_orderkey, bool_or(l_returnflag = 'R') as refuted, bool_or(l_returnflag = 'A') as supported from lineitem group by 1) select o_orderpriority as domain, case when refuted then 'disproved' when supported then 'proved' else 'unproven' end as verdict, count(*) as n from orders left join e on o_orderkey = l_orderkey group by 1, 2"),
     "compliance_posture": (compliance_posture, "with s as (select s_nationkey, count(*) filter (s_acctbal < 0) as failures from supplier group by 1), c as (select n_regionkey, case when failures is null then 'pending' when failures > 0 then 'fail' else 'pass' end as state from nation left join s on n_nationkey = s_nationkey), g as (select n_regionkey, count(*) filter (state = 'pass') as n_pass, count(*) filter (state = 'fail') as n_fail, count(*) filter (state = 'pending') as n_pending from c group by 1) select *, round(100.0::double * n_pass / nullif(n_pass + n_fail, 0), 4) as posture_pct from g"),
-    "health_score": (health_score, "with g as (select c_mktsegment, count(*) as n, count(*) filter (c_acctbal < 0) as debt, count(*) filter (c_acctbal > 5000) as rich from customer group by 1), s as (select c_mktsegment, floor(greatest(0.0::double, least(100.0::double, 0.35::double * (100.0::double - least(debt * 0.5::double, 60.0::double)) + 0.25::double * (100.0::double * rich / n) + 0.2::double * 80 + 0.1::double * 70 + 0.1::double * 60)))::bigint as score from g) select *, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 60 then 'C' when score >= 40 then 'D' else 'F' end as grade from s"),
+    "health_score": (health_score, "with g as (select c_mktsegment, count(*)::double as n, count(*) filter (c_acctbal < 0) as debt, count(*) filter (c_acctbal > 5000) as rich, count(*) filter (c_acctbal > 500) as used, count(*) filter (c_nationkey < 20) as near, count(*) filter (c_custkey % 2 = 0) as even from customer group by 1), s as (select c_mktsegment, floor(greatest(0.0::double, least(100.0::double, 0.35::double * (100.0::double - least(debt * 0.5::double, 60.0::double)) + 0.25::double * (100.0::double * rich / n) + 0.2::double * (100.0::double * used / n) + 0.1::double * (100.0::double * near / n) + 0.1::double * (100.0::double * even / n))))::bigint as score from g) select *, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 60 then 'C' when score >= 40 then 'D' else 'F' end as grade from s"),
     "recency_weights": (recency_weights, _q("select *, rejected > 3 * accepted as skip from (select event_type, round(sum(w) filter (value < 30), 4) as accepted, round(sum(w) filter (value >= 30), 4) as rejected from (select *, exp(-0.693::double * ((epoch(timestamp '2024-02-01') - floor(epoch(ts))) / 86400.0::double) / 30) as w from entries) group by event_type)")),
     "version_drift": (version_drift, "select p_name, p_type, len(s) as versions, array_to_string(s[1:10], ',') as first_versions from (select p_name, p_type, list_sort(list_distinct(list(p_size))) as s from part group by 1, 2) where len(s) > 1"),
     "scorecard": (scorecard, "select *, round(detected / nullif(planted, 0), 6) as detection_rate from (select source, count(*) filter (quality = 0) as planted, count(*) filter (quality = 0 and n_chars < 400) as detected, count(*) filter (quality = 1 and n_chars < 400) as false_positives from documents join labels using (doc_id) group by source)"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import severity as sev
+from tidemark.plans.folds import fold_groups
 from tidemark.plans.tables import table
 
 DAY = 86_400
@@ -128,18 +129,22 @@ def sessions(spark, sf_dir):
     return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), (F.max("us") - F.min("us")).alias("length_us"))
 
 
-def ewma(spark, sf_dir):
-    """Exponentially weighted mean and variance of each user's values, folded in order of time."""
-    alpha = 0.1
-    e = log(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "value"))).alias("es"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+def ewma_state(rows: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = 0.1) -> DataFrame:
+    """Exponentially weighted mean and variance of each key's values, folded in order."""
+
+    def step(state, value):
+        if state is None:
+            return 1, value, 0.0
+        n, mean, variance = state
+        d = value - mean
+        return n + 1, mean + alpha * d, (1 - alpha) * (variance + alpha * d * d)
 
-    def step(s, e):
-        d = e["value"] - s["mean"]
-        first = s["n"] == 0
-        return F.struct((s["n"] + 1).alias("n"), F.when(first, e["value"]).otherwise(s["mean"] + alpha * d).alias("mean"), F.when(first, 0.0).otherwise((1 - alpha) * (s["m2"] + alpha * d * d)).alias("m2"))
+    return fold_groups(rows, keys, order, [value], lambda: None, step, lambda s: [s], "n long, mean double, variance double")
 
-    return e.select("user_id", F.aggregate("es", zero, step).alias("s")).select("user_id", F.col("s.n").cast("long").alias("n"), F.round("s.mean", 6).alias("mean"), F.round("s.m2", 4).alias("variance"))
+
+def ewma(spark, sf_dir):
+    s = ewma_state(log(spark, sf_dir), ["user_id"], ["us", "event_id"], "value")
+    return s.select("user_id", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
 
 
 EWMA_SQL = f"""with recursive {ENTRIES_SQL}, o as (select user_id, value, row_number() over (partition by user_id order by us, event_id) as r from entries),
@@ -148,20 +153,25 @@ w as (select user_id, r, value as mean, 0.0::double as m2 from o where r = 1
 select user_id, r as n, round(mean, 6) as mean, round(m2, 4) as variance from w qualify row_number() over (partition by user_id order by r desc) = 1"""
 
 
-def watch_scores(spark, sf_dir):
-    """Points of a user's findings, decaying to nothing over five days of silence; with escalation."""
-    ttl = 5 * DAY * 1_000_000
-    points = F.when(F.col("event_type") == "error", sev.WATCH_POINTS["brute_force"]).when(F.col("event_type") == "view", sev.WATCH_POINTS["error_spike"]).otherwise(sev.WATCH_POINTS["rate_spike"])
-    e = log(spark, sf_dir).groupBy("ip").agg(F.array_sort(F.collect_list(F.struct("us", "event_id", points.cast("double").alias("points")))).alias("es"))
-    zero = F.struct(F.lit(0).cast("long").alias("us"), F.lit(0.0).alias("score"), F.lit(0.0).alias("peak"))
+def decayed_scores(rows: DataFrame, keys: list[str], order: list[str], us: str, points: str, ttl_us: int = 3_600_000_000) -> DataFrame:
+    """Last and highest score of each key: points that decay linearly to nothing over ``ttl_us`` of silence."""
+
+    def step(state, now, points):
+        if state is None:
+            return now, points, points
+        last, score, peak = state
+        score = score * max(0.0, 1.0 - (now - last) / float(ttl_us)) + points
+        return now, score, max(peak, score)
+
+    return fold_groups(rows, keys, order, [us, points], lambda: None, step, lambda s: [s[1:]], "score double, peak double")
 
-    def step(s, e):
-        score = s["score"] * F.greatest(F.lit(0.0), 1.0 - (e["us"] - s["us"]) / F.lit(float(ttl))) + e["points"]
-        return F.struct(e["us"].alias("us"), score.alias("score"), F.greatest(s["peak"], score).alias("peak"))
 
-    s = e.select("ip", F.aggregate("es", zero, step).alias("s"))
-    state = F.when(F.col("s.peak") >= 100, "critical").when(F.col("s.peak") >= 50, "high").otherwise("none")
-    return s.select("ip", F.round("s.score", 6).alias("score"), F.round("s.peak", 6).alias("peak"), state.alias("escalation"))
+def watch_scores(spark, sf_dir):
+    """Points of a user's findings, decaying over five days of silence; with escalation."""
+    points = F.when(F.col("event_type") == "error", sev.WATCH_POINTS["brute_force"]).when(F.col("event_type") == "view", sev.WATCH_POINTS["error_spike"]).otherwise(sev.WATCH_POINTS["rate_spike"])
+    s = decayed_scores(log(spark, sf_dir).withColumn("points", points.cast("double")), ["ip"], ["us", "event_id"], "us", "points", 5 * DAY * 1_000_000)
+    state = F.when(F.col("peak") >= 100, "critical").when(F.col("peak") >= 50, "high").otherwise("none")
+    return s.select("ip", F.round("score", 6).alias("score"), F.round("peak", 6).alias("peak"), state.alias("escalation"))
 
 
 WATCH_SQL = f"""with recursive {ENTRIES_SQL}, o as (select ip, us, (case event_type when 'error' then 40 when 'view' then 5 else 10 end)::double as p, row_number() over (partition by ip order by us, event_id) as r from entries),

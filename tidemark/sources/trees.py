@@ -53,7 +53,11 @@ def imports(files: DataFrame) -> DataFrame:
 
 def import_edges(files: DataFrame) -> DataFrame:
     """Edges between files of the tree: the first file that a module's path names; imports from outside go."""
-    wanted = imports(files).withColumn("base", F.replace("module", F.lit("."), F.lit("/")))
+    here = F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/")
+    above = F.array_join(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 2, F.lit(0))), "/")
+    beside = lambda folder, dots: F.concat_ws("/", F.nullif(folder, F.lit("")), F.substring("module", dots + 2, 10_000))
+    base = F.when(F.col("module").startswith("./"), beside(here, 1)).when(F.col("module").startswith("../"), beside(above, 2)).otherwise(F.replace("module", F.lit("."), F.lit("/")))
+    wanted = imports(files).withColumn("base", base)
     tried = wanted.select("path", "module", F.posexplode(F.array(F.concat("base", F.lit(".py")), F.concat("base", F.lit(".ts")), F.concat("base", F.lit(".js")))).alias("priority", "dst"))
     hit = tried.join(files.select(F.col("path").alias("dst")), "dst").groupBy("path", "module").agg(F.min(F.struct("priority", "dst")).alias("m"))
     return hit.select(F.col("path").alias("src"), F.col("m.dst").alias("dst")).where("src <> dst").distinct()

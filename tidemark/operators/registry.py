@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import chains, findings, graph, ignores, joins, lifecycle, logs, reports, rollups, rules, windows
+from tidemark.operators import chains, findings, graph, ignores, joins, lifecycle, logs, reports, rollups, rules, secrets, windows
 
 
 def modules() -> list:
-    return [findings, lifecycle, ignores, chains, windows, rollups, graph, joins, rules, logs, reports]
+    return [findings, secrets, lifecycle, ignores, chains, windows, rollups, graph, joins, rules, logs, reports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -41,3 +41,20 @@ def test_bad_conditions_are_refused(spark, text):
 def test_match_gives_a_row_for_each_rule(rows):
     rules = [{"id": "x", "level": "low", "selections": {"s": {"method": "GET"}}, "condition": "s"}, {"id": "y", "level": "high", "selections": {"s": {"note": "y"}}, "condition": "s"}]
     assert sorted((r["id"], r["rule_id"]) for r in match(rows, rules).collect()) == [(1, "x"), (3, "x"), (3, "y")]
+
+
+def test_rule_files_are_loaded_and_bad_ones_skipped(spark, tmp_path):
+    import json
+
+    from tidemark.operators.rules import load_rule_folder, match
+
+    good = {"id": 7, "selections": {"a": {"ip|cidr": "2001:db8::/32"}, "b": {"msg|base64": "evil"}, "c": {"actor.name": "bob"}}, "condition": "1 of them"}
+    (tmp_path / "good.json").write_text(json.dumps([good]))
+    (tmp_path / "no_condition.json").write_text('{"id": "x", "selections": {}}')
+    (tmp_path / "broken.json").write_text("{")
+    (tmp_path / "unknown.json").write_text('{"id": "y", "selections": {}, "condition": "nothing"}')
+    rules, skipped = load_rule_folder(spark, str(tmp_path))
+    assert [r["id"] for r in rules] == ["7"] and len(skipped) == 3
+    rows = [(1, "2001:db8::1", "", ("x",)), (2, "10.0.0.1", "ZXZpbCBjb2Rl", ("x",)), (3, "nonsense", "no base64!", ("bob",)), (4, "::1", "", ("x",)), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "i int, ip string, msg string, actor struct<name:string>")
+    assert sorted(r["i"] for r in match(df, rules).collect()) == [1, 2, 3]

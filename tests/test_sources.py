@@ -64,3 +64,18 @@ def test_manifests(spark):
     got = {(r["ecosystem"], r["package"], r["version"]) for r in deps.collect()}
     assert got == {("npm", "react", "18.2.0"), ("npm", "jest", "29.0.0"), ("npm", "react", "17.0.1"), ("pip", "django", "4.2"), ("pip", "requests", "2.0"), ("pip", "flask", ""), ("go", "github.com/a/b", "v1.2.3"), ("cargo", "serde", "1.0"), ("cargo", "tokio", "1.3"), ("cargo", "rand", "0.8")}
     assert [tuple(r) for r in drifting(deps).collect()] == [("npm", "react", ["17.0.1", "18.2.0"])]
+
+
+def test_more_manifests_and_named_files(spark):
+    from tidemark.functions.paths import language
+    from tidemark.sources.manifests import dependencies
+
+    rows = [
+        ("pyproject.toml", '[project]\nname = "x"\ndependencies = [\n  "numpy>=1.26",\n  "rich",\n]\n[tool.poetry.dependencies]\npython = "^3.10"\nhttpx = "^0.27"\nuvicorn = { version = "0.30", extras = ["standard"] }\n'),
+        ("composer.json", '{"require": {"php": ">=8", "monolog/monolog": "^3.0"}, "require-dev": {"phpunit/phpunit": "11.0"}}'), ("Gemfile", "source 'https://x'\ngem 'rails', '~> 7.1'\n  gem \"puma\"\n"),
+    ]
+    got = {(r["ecosystem"], r["package"], r["version"]) for r in dependencies(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert got == {("pip", "numpy", "1.26"), ("pip", "rich", ""), ("pip", "httpx", "0.27"), ("pip", "uvicorn", "0.30"), ("composer", "monolog/monolog", "3.0"), ("composer", "phpunit/phpunit", "11.0"), ("gem", "rails", "7.1"), ("gem", "puma", "")}
+    names = {"a/Dockerfile": "docker", "Makefile": "make", "x.py": "python", "README": "unknown"}
+    df = spark.createDataFrame([(k,) for k in names], "p string").select("p", language(F.col("p")).alias("l"))
+    assert {r["p"]: r["l"] for r in df.collect()} == names

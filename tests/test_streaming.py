@@ -81,3 +81,19 @@ def test_sinks(spark, tmp_path):
 
     got = signed(spark.createDataFrame([("x",), (None,)], "body string"), "key").collect()
     assert len(got[0]["signature"]) == 64 and got[1]["signature"] is None
+
+
+def test_guard_finds_scores_and_escalates(spark, tmp_path):
+    from tidemark.streaming.guard import guarded
+
+    at = 1_700_000_000
+    rows = [("1.1.1.1", "POST", "/login", at + k) for k in range(25)] + [("2.2.2.2", "GET", f"/p{k}", at + k) for k in range(40)] + [("3.3.3.3", "GET", "/a/../../etc/passwd", at), ("4.4.4.4", "GET", "/", at), ("5.5.5.5", "GET", f"/q", at + 1)]
+    rows += [("6.6.6.6", "GET", f"/p{k}", at + 10 * k) for k in range(40)] + [("3.3.3.3", "GET", "/.env", at + 5)]
+    df = spark.createDataFrame(rows, "ip string, method string, path string, s long").select("ip", "method", "path", F.lit(200).alias("status"), F.timestamp_seconds("s").alias("ts"))
+    df.repartition(3).write.parquet(str(tmp_path / "guard-in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "guard-in")).withWatermark("ts", "1 day")
+    got = drain(guarded(stream, blocked=spark.createDataFrame([("4.4.4.4",)], "ip string")), "guard", spark, tmp_path)
+    found = sorted((r["ip"], r["detector"], r["escalation"]) for r in got)
+    assert [(i, d) for i, d, _ in found] == [("1.1.1.1", "brute_force"), ("2.2.2.2", "scanner_sweep"), ("3.3.3.3", "injection_probe"), ("3.3.3.3", "injection_probe"), ("4.4.4.4", "blocked_ip")]
+    assert {r["score"] for r in got if r["ip"] == "1.1.1.1"} == {40.0}
+    assert [e for i, _, e in found if e] == ["high"] and max(r["score"] for r in got if r["ip"] == "3.3.3.3") > 59

@@ -1,6 +1,6 @@
 """Closures, paths, cycles and fan-in over edge tables.
 
-Iteration is over joins of frontier and edges with a bounded depth; each round is a written table, so
+Iteration is over joins of frontier and edges; each round is a written table, so
 lineage stays short and a lost executor costs one round. Nothing is gathered on the driver.
 """
 
@@ -25,11 +25,18 @@ def edges(spark, sf_dir) -> DataFrame:
 EDGES_SQL = """edges as (select distinct src, dst from (select user_id as src, lead(user_id) over (partition by event_id // 1000 order by event_id) as dst from events where event_type = 'purchase') where src <> dst)"""
 
 
-def closure(edges: DataFrame, depth: int, keep: str = "src") -> DataFrame:
-    """(src, dst, hops): every node within ``depth`` hops of each source, with the fewest hops."""
-    found = stage(edges.select("src", "dst", F.lit(1).alias("hops")), "closure")
-    frontier = found
-    for hops in range(2, depth + 1):
+def closure(edges: DataFrame, depth: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """(src, dst, hops): every node that each source reaches, with the fewest hops.
+
+    Walks until nothing is new, or for ``depth`` rounds; ``seeds`` (src) bounds the sources. One written table a
+    round. The result is as large as its pairs, so over large graphs give seeds.
+    """
+    edges = stage(edges.select("src", "dst").distinct(), "edges")
+    start = edges if seeds is None else edges.join(seeds.select("src").distinct(), "src", "left_semi")
+    found = frontier = stage(start.select("src", "dst", F.lit(1).alias("hops")), "closure")
+    hops = 1
+    while depth is None or hops < depth:
+        hops += 1
         step = frontier.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").where("src <> dst").distinct()
         frontier = stage(step.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)), "frontier")
         if frontier.isEmpty():
@@ -38,15 +45,80 @@ def closure(edges: DataFrame, depth: int, keep: str = "src") -> DataFrame:
     return found
 
 
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
 def reachable(spark, sf_dir):
-    return closure(edges(spark, sf_dir), 4).select("src", "dst", "hops")
+    """What every 50th node reaches, however far."""
+    e = edges(spark, sf_dir)
+    return closure(e, seeds=e.select("src").where("src % 50 = 0")).select("src", "dst")
+
+
+def blast(edges: DataFrame, seeds: DataFrame | None = None, depth: int | None = None, few: int = 5) -> DataFrame:
+    """Transitive dependents of each node (against the arrows) and the risk they mean."""
+    c = closure(reversed_edges(edges), depth, seeds).groupBy("src").agg(F.count(F.lit(1)).alias("dependents"))
+    return c.select(F.col("src").alias("node"), "dependents", F.when(F.col("dependents") == 0, "low").when(F.col("dependents") <= few, "medium").otherwise("high").alias("risk"))
 
 
 def blast_radius(spark, sf_dir):
-    """Dependents within three hops against the arrows, and the risk they mean."""
+    """Dependents of every 20th node, however far."""
+    e = edges(spark, sf_dir)
+    return blast(e, e.select(F.col("dst").alias("src")).where("src % 20 = 0"))
+
+
+def symbol_risk(edges: DataFrame, symbols: DataFrame, depth: int = 5) -> DataFrame:
+    """Risk of changing each symbol (id, coverage, criticality): dependents up to ``depth``, coverage of both, criticality.
+
+    score = 0.4 min(n / 50, 1) + 0.3 (1 - mean of own and dependents' coverage) + 0.3 criticality; cut at 0.3, 0.6, 0.85.
+    """
+    c = closure(reversed_edges(edges), depth, symbols.select(F.col("id").alias("src")))
+    below = c.join(symbols.select(F.col("id").alias("dst"), F.col("coverage").alias("_c")), "dst", "left").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("_c", F.lit(0.0))).alias("_below"))
+    j = symbols.join(below, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    tested = (F.coalesce("coverage", F.lit(0.5)) + F.coalesce("_below", F.lit(0.0))) / 2
+    score = F.round(F.least(0.4 * F.least(F.col("n") / 50, F.lit(1.0)) + 0.3 * (1 - tested) + 0.3 * F.least("criticality", F.lit(1.0)), F.lit(1.0)), 6)
+    level = F.when(F.col("score") > 0.85, "critical").when(F.col("score") > 0.6, "high").when(F.col("score") > 0.3, "medium").otherwise("low")
+    return j.select("id", F.col("n").alias("dependents"), score.alias("score")).withColumn("risk", level)
+
+
+def symbol_blast(spark, sf_dir):
+    """Users as symbols: coverage and criticality from their ids, dependents within two hops."""
     e = edges(spark, sf_dir)
-    c = closure(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), 3).groupBy("src").agg(F.count(F.lit(1)).alias("dependents"), F.max("hops").cast("long").alias("depth"))
-    return c.select(F.col("src").alias("node"), "dependents", "depth", F.when(F.col("dependents") == 0, "low").when(F.col("dependents") <= 5, "medium").otherwise("high").alias("risk"))
+    ids = e.select(F.col("dst").alias("id")).where("id % 10 = 0").distinct()
+    s = ids.select("id", (F.col("id") % 7 / 7.0).alias("coverage"), F.when(F.col("id") % 3 == 0, 0.8).otherwise(0.3).alias("criticality"))
+    return symbol_risk(e, s, 2)
+
+
+def symbol_diff(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("file", "name", "line")) -> DataFrame:
+    """Symbols (keys, hash) of two versions: added, removed, modified or unchanged."""
+    a, b = old.withColumnRenamed("hash", "_old"), new.withColumnRenamed("hash", "_new")
+    state = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "modified").otherwise("unchanged")
+    return a.join(b, list(keys), "full_outer").select(*keys, state.alias("state"))
+
+
+def diff_impact(diff: DataFrame, risks: DataFrame) -> DataFrame:
+    """Changed symbols of each file (file, state) with the widest reach of its symbols (file, dependents), as a level."""
+    g = diff.where("state <> 'unchanged'").groupBy("file").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("added", "removed", "modified")], F.count(F.lit(1)).alias("_n"))
+    wide = risks.groupBy("file").agg(F.max("dependents").alias("reach"))
+    j = g.join(wide, "file", "left").withColumn("reach", F.coalesce("reach", F.lit(0)))
+    n, r = F.col("_n"), F.col("reach")
+    level = F.when(((n >= 3) & (r >= 5)) | (r >= 20), "critical").when(((n >= 2) & (r >= 3)) | (r >= 10), "high").when(r >= 1, "medium").otherwise("low")
+    return j.select("file", "added", "removed", "modified", "reach", level.alias("risk"))
+
+
+def changed_symbols(spark, sf_dir):
+    """Lines of even and odd suppliers as two versions of a part's symbols, by order as file."""
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select((F.col("l_orderkey") % 500).alias("file"), F.col("l_partkey").alias("name"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("hash"))
+    side = lambda k: li.where(f"s % 2 = {k}").groupBy("file", "name", "line").agg(F.min("hash").alias("hash"))
+    diff = symbol_diff(side(0), side(1))
+    reach = li.groupBy("file").agg((F.count(F.lit(1)) % 25).alias("dependents"))
+    return diff_impact(diff, reach)
+
+
+def linked_symbols(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(symbol, depends_on) by name and file, over edges of symbol ids."""
+    s = lambda side, name: symbols.select(F.col("id").alias(side), F.struct("name", "file").alias(name))
+    return edges.join(s("src", "symbol"), "src").join(s("dst", "depends_on"), "dst").select("symbol", "depends_on")
 
 
 def fan_in(spark, sf_dir):
@@ -114,8 +186,10 @@ def _q(body: str, recursive: bool = False) -> str:
 
 
 QUERIES = {
-    "graph_reachable": (reachable, _q(", w as (select src, dst, 1 as hops from edges union select w.src, e.dst, w.hops + 1 from w join edges e on w.dst = e.src where w.hops < 4) select src, dst, min(hops) as hops from w where src <> dst group by src, dst", True)),
-    "graph_blast_radius": (blast_radius, _q(", w as (select dst as src, src as dst, 1 as hops from edges union select w.src, e.src, w.hops + 1 from w join edges e on w.dst = e.dst where w.hops < 3), m as (select src, dst, min(hops) as hops from w where src <> dst group by src, dst) select src as node, count(*) as dependents, max(hops)::bigint as depth, case when count(*) = 0 then 'low' when count(*) <= 5 then 'medium' else 'high' end as risk from m group by src", True)),
+    "graph_reachable": (reachable, _q(", w as (select src, dst from edges where src % 50 = 0 union select w.src, e.dst from w join edges e on w.dst = e.src) select src, dst from w where src <> dst", True)),
+    "graph_blast_radius": (blast_radius, _q(", w as (select dst as node, src as dep from edges where dst % 20 = 0 union select w.node, e.src from w join edges e on w.dep = e.dst) select node, count(*) as dependents, case when count(*) = 0 then 'low' when count(*) <= 5 then 'medium' else 'high' end as risk from w where node <> dep group by node", True)),
+    "symbol_risk": (symbol_blast, _q(", s as (select distinct dst as id, dst % 7 / 7.0::double as coverage, case when dst % 3 = 0 then 0.8::double else 0.3::double end as criticality from edges where dst % 10 = 0), one as (select distinct dst as id, src as dep from edges where dst % 10 = 0), two as (select * from one union select o.id, e.src from one o join edges e on o.dep = e.dst), g as (select two.id, count(*) as n, avg(coalesce(s.coverage, 0)) as below from two left join s on s.id = two.dep where two.id <> two.dep group by 1), x as (select s.id, coalesce(n, 0) as dependents, round(least(0.4::double * least(coalesce(n, 0) / 50, 1) + 0.3::double * (1 - (coverage + coalesce(below, 0)) / 2) + 0.3::double * criticality, 1), 6) as score from s left join g on g.id = s.id) select *, case when score > 0.85 then 'critical' when score > 0.6 then 'high' when score > 0.3 then 'medium' else 'low' end as risk from x")),
+    "diff_impact": (changed_symbols, "with l as (select l_orderkey % 500 as file, l_partkey as name, l_linenumber as line, l_suppkey as s, l_returnflag as hash from lineitem where l_linenumber <= 2), a as (select file, name, line, min(hash) as h from l where s % 2 = 0 group by 1, 2, 3), b as (select file, name, line, min(hash) as h from l where s % 2 = 1 group by 1, 2, 3), d as (select coalesce(a.file, b.file) as file, case when a.h is null then 'added' when b.h is null then 'removed' when a.h <> b.h then 'modified' end as state from a full join b on a.file = b.file and a.name = b.name and a.line = b.line), g as (select file, count(*) filter (state = 'added') as added, count(*) filter (state = 'removed') as removed, count(*) filter (state = 'modified') as modified, count(*) as n from d where state is not null group by 1), r as (select file, count(*) % 25 as reach from l group by 1) select file, added, removed, modified, reach, case when n >= 3 and reach >= 5 or reach >= 20 then 'critical' when n >= 2 and reach >= 3 or reach >= 10 then 'high' when reach >= 1 then 'medium' else 'low' end as risk from g join r using (file)"),
     "graph_fan_in": (fan_in, _q(" select dst as node, count(distinct src) as fan_in from edges group by 1 order by 2 desc, 1 limit 20")),
     "graph_roots": (roots, _q(" select distinct src as node from edges where src not in (select dst from edges)")),
     "graph_cycles": (cycles, _q(", w as (select src as start, dst as pos, [src, dst] as path from edges where src < dst union all select w.start, e.dst, list_append(path, e.dst) from w join edges e on w.pos = e.src where e.dst > w.start and not list_contains(path, e.dst) and len(path) < 4) select array_to_string(path, '>') as cycle, len(path) as length from w join edges e on w.pos = e.src and e.dst = w.start", True)),

@@ -6,7 +6,9 @@ small recursive descent into one boolean Column, so a rule set of any size is on
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,11 +25,32 @@ RULES = [
 ]
 
 
+def _in_ipv6(network: str):
+    """Whether addresses lie in an IPv6 network: no built-in expression reads its notations."""
+    import ipaddress
+
+    import pandas as pd
+
+    net = ipaddress.ip_network(network, strict=False)
+
+    def inside(address: str | None) -> bool:
+        try:
+            return address is not None and ipaddress.ip_address(address) in net
+        except ValueError:
+            return False
+
+    return F.pandas_udf(lambda s: s.map(inside).astype(bool) if len(s) else pd.Series(dtype=bool), "boolean")
+
+
 def _one(field: Column, modifier: str, value: object) -> Column:
     if modifier in ("gt", "lt", "gte", "lte"):
         number = field.cast("double")
         return {"gt": number > value, "lt": number < value, "gte": number >= value, "lte": number <= value}[modifier]
     text = field.cast("string")
+    if modifier == "base64":
+        return F.try_to_binary(text, F.lit("base64")).cast("string").contains(str(value))
+    if modifier == "cidr" and ":" in str(value):
+        return _in_ipv6(str(value))(text)
     if modifier == "cidr":
         base, bits = str(value).split("/")
         size = 2 ** (32 - int(bits))
@@ -114,6 +137,30 @@ def match(rows: DataFrame, rules: list[dict]) -> DataFrame:
     return rows.withColumn("rule", F.explode(F.array_compact(F.array(*tests)))).select(*rows.columns, "rule.rule_id", "rule.level")
 
 
+def load_rules(texts: Iterable[tuple[str, str]]) -> tuple[list[dict], list[tuple[str, str]]]:
+    """(rules, skipped) of named JSON texts, one rule or a list of rules each; bad ones are named with the reason.
+
+    A rule needs an id, selections and a condition that can be compiled; ``level`` is medium by default.
+    Rule sets are read on the driver: they are configuration, not data.
+    """
+    rules, skipped = [], []
+    for name, text in texts:
+        try:
+            read = json.loads(text)
+            for r in read if isinstance(read, list) else [read]:
+                condition(r["condition"], {n: selection(t) for n, t in r["selections"].items()})
+                rules.append({"id": str(r["id"]), "level": r.get("level", "medium"), "selections": r["selections"], "condition": r["condition"]})
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            skipped.append((name, f"{type(e).__name__}: {e}"))
+    return rules, skipped
+
+
+def load_rule_folder(spark, folder: str) -> tuple[list[dict], list[tuple[str, str]]]:
+    """``load_rules`` of all JSON files of a folder, through Spark's readers."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value").orderBy("path")
+    return load_rules((r["path"], r["value"]) for r in files.collect())
+
+
 def rule_matches(spark, sf_dir):
     return match(log(spark, sf_dir), RULES).select("event_id", "rule_id", "level")
 

@@ -47,31 +47,60 @@ def status_levels(spark, sf_dir):
     return log(spark, sf_dir).groupBy(level(F.col("status")).alias("level"), "method").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rates(rows: DataFrame, key: str, seconds: int = 60) -> DataFrame:
+    """``rows`` (us) with n, the rows of their key in the last ``seconds``, and rate: n over the span from first to last."""
+    w = trailing(key, seconds)
+    e = rows.withColumns({"n": F.count(F.lit(1)).over(w), "_span": F.col("us") - F.min("us").over(w)})
+    rate = F.when(F.col("_span") == 0, F.col("n").cast("double")).otherwise(F.col("n") / (F.col("_span") / 1e6))
+    return e.withColumn("rate", F.round(rate, 9)).drop("_span")
+
+
+def error_shares(rows: DataFrame, key: str, seconds: int = 60, least: int = 20, share: float = 0.4) -> DataFrame:
+    """Rows (status) with more than ``least`` requests of their key in the last ``seconds``, more than ``share`` of them errors."""
+    w = trailing(key, seconds)
+    e = rows.withColumns({"total": F.count(F.lit(1)).over(w), "errors": F.count_if(F.col("status") >= 400).over(w)})
+    return e.where((F.col("total") > least) & (F.col("errors") > share * F.col("total")))
+
+
+def repeated(rows: DataFrame, key: str, seconds: int = 60, least: int = 20) -> DataFrame:
+    """Rows that are at least the ``least``-th of their key in the last ``seconds``: hits."""
+    return rows.withColumn("hits", F.count(F.lit(1)).over(trailing(key, seconds))).where(F.col("hits") >= least)
+
+
+def distinct_in_window(rows: DataFrame, key: str, value: str, seconds: int = 60, least: int = 30) -> DataFrame:
+    """Rows whose key has at least ``least`` different values in the last ``seconds``: n_values.
+
+    A value counts where it is the newest of its kind: a row adds one until the next row with its key and
+    value, so the distinct count is a running sum over starts and ends and no set is held.
+    """
+    same = Window.partitionBy(key, value).orderBy("us")
+    span = seconds * 1_000_000
+    placed = rows.withColumn("_next", F.lead("us").over(same))
+    ends = F.least(F.coalesce("_next", F.col("us") + span + 1), F.col("us") + span + 1)
+    changes = placed.select(key, F.col("us").alias("_at"), F.lit(1).alias("_d")).unionByName(placed.select(key, ends.alias("_at"), F.lit(-1).alias("_d"))).groupBy(key, "_at").agg(F.sum("_d").alias("_d"))
+    running = changes.withColumn("n_values", F.sum("_d").over(Window.partitionBy(key).orderBy("_at"))).select(key, F.col("_at").alias("us"), "n_values")
+    return rows.join(running, [key, "us"]).where(F.col("n_values") >= least)
+
+
 def trailing_rates(spark, sf_dir):
-    """Events of a user in the last day: count, sum, and rate over the span between first and last."""
-    w = trailing("ip", DAY)
-    e = log(spark, sf_dir).select("event_id", "ip", "us", F.count(F.lit(1)).over(w).alias("n"), (F.col("us") - F.min("us").over(w)).alias("span"))
-    rate = F.when(F.col("span") == 0, F.col("n").cast("double")).otherwise(F.col("n") / (F.col("span") / 1e6))
-    return e.select("event_id", "ip", "n", F.round(rate, 9).alias("rate"))
+    """Events of a user in the last day: count and rate."""
+    return rates(log(spark, sf_dir), "ip", DAY).select("event_id", "ip", "n", "rate")
 
 
 def error_spikes(spark, sf_dir):
     """More than 40 % errors among more than three requests of a user in a day."""
-    w = trailing("ip", DAY)
-    e = log(spark, sf_dir).withColumn("total", F.count(F.lit(1)).over(w)).withColumn("errors", F.count_if(F.col("status") >= 400).over(w))
-    return e.where("total > 3 and errors * 10 > total * 4").select("event_id", "ip", "total", "errors")
+    return error_shares(log(spark, sf_dir), "ip", DAY, 3, 0.4).select("event_id", "ip", "total", "errors")
 
 
 def brute_force(spark, sf_dir):
     """At least three posts of a user in a day."""
-    w = trailing("ip", DAY)
-    return log(spark, sf_dir).where("method = 'POST'").withColumn("hits", F.count(F.lit(1)).over(w)).where("hits >= 3").select("event_id", "ip", "hits")
+    return repeated(log(spark, sf_dir).where("method = 'POST'"), "ip", DAY, 3).select("event_id", "ip", "hits")
 
 
 def scanner_sweeps(spark, sf_dir):
     """At least five distinct paths of a user in a day."""
-    w = trailing("ip", DAY)
-    return log(spark, sf_dir).withColumn("paths", F.size(F.collect_set("path").over(w)).cast("long")).where("paths >= 5").select("event_id", "ip", "paths")
+    e = log(spark, sf_dir).where("path is not null")
+    return distinct_in_window(e, "ip", "path", DAY, 5).select("event_id", "ip", F.col("n_values").alias("paths"))
 
 
 def tumbling_sweeps(spark, sf_dir):

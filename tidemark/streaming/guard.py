@@ -6,6 +6,7 @@ forms are in ``operators.windows``. Late rows beyond the watermark are dropped.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,13 +57,13 @@ def watch_scores(findings: DataFrame, ttl_seconds: int = 3600, high: float = 50,
         if state.hasTimedOut:
             state.remove()
             return
-        last, score, told = state.get if state.exists else (0.0, 0.0, 0)
+        last, score, told = state.get if state.exists else (None, 0.0, 0)
         out = []
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         for ts, detector in zip(rows["ts"], rows["detector"], strict=True):
             now = ts.timestamp()
-            score = score * max(0.0, 1.0 - max(0.0, now - last) / ttl_seconds) + WATCH_POINTS.get(detector, 0) if last else float(WATCH_POINTS.get(detector, 0))
-            last = max(last, now)
+            score = score * max(0.0, 1.0 - max(0.0, now - last) / ttl_seconds) + WATCH_POINTS.get(detector, 0) if last is not None else float(WATCH_POINTS.get(detector, 0))
+            last = now if last is None else max(last, now)
             reached = 2 if score >= critical else 1 if score >= high else 0
             if reached > told:
                 told = reached
@@ -74,6 +75,61 @@ def watch_scores(findings: DataFrame, ttl_seconds: int = 3600, high: float = 50,
     return findings.groupBy("ip").applyInPandasWithState(update, "ip string, ts timestamp, score double, escalation string", "last double, score double, told int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: What no path of a request should contain.
+PROBES = ("../", "/etc/passwd", "<script", "union select", "' or ", "${jndi:", "cmd.exe", "/wp-admin", "/.env", "%00")
+
+
+def guarded(entries: DataFrame, *, seconds: int = 60, posts: int = 20, paths: int = 30, auth: str = "login|auth|token|session", probes: tuple[str, ...] = PROBES, blocked: DataFrame | None = None, ttl_seconds: int = 3600, high: float = 50, critical: float = 100) -> DataFrame:
+    """The whole guard as one stateful operator over entries (ip, ts with a watermark, method, path, status).
+
+    Each address keeps the times of its last ``posts`` posts to auth paths, the distinct paths since its window
+    of ``seconds`` opened with the first arrival, and a score that decays linearly. One row for each finding
+    (detector: brute_force, scanner_sweep, injection_probe, blocked_ip), with the score after it and the escalation that it
+    caused, once each. ``blocked``: ip, a static table. State is bounded and goes after ``ttl_seconds`` of silence.
+    """
+    flags = entries.select("ip", "ts", ((F.col("method") == "POST") & F.lower("path").rlike(auth)).alias("post"), "path", F.exists(F.array(*map(F.lit, probes)), lambda p: F.lower("path").contains(p)).alias("probe"))
+    if blocked is not None:
+        flags = flags.join(blocked.select("ip").distinct().withColumn("blocked", F.lit(True)), "ip", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    else:
+        flags = flags.withColumn("blocked", F.lit(False))
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = json.loads(state.get[0]) if state.exists else {"posts": [], "opened": None, "paths": [], "last": None, "score": 0.0, "told": 0}
+        out = []
+        for ts, post, path, probe, listed in pd.concat(list(batches)).sort_values("ts", kind="stable")[["ts", "post", "path", "probe", "blocked"]].itertuples(index=False):
+            at, found = ts.timestamp(), []
+            if listed:
+                found.append("blocked_ip")
+            if probe:
+                found.append("injection_probe")
+            if post:
+                now["posts"] = [t for t in now["posts"] if at - t <= seconds][-(posts - 1) :] + [at]
+                if len(now["posts"]) >= posts:
+                    found.append("brute_force")
+                    now["posts"] = []
+            if now["opened"] is None or at - now["opened"] > seconds:
+                now["opened"], now["paths"] = at, []
+            if path is not None and len(now["paths"]) < paths and path not in now["paths"]:
+                now["paths"].append(path)
+                if len(now["paths"]) == paths:
+                    found.append("scanner_sweep")
+            for detector in found:
+                aged = 0.0 if now["last"] is None else max(0.0, 1.0 - max(0.0, at - now["last"]) / ttl_seconds)
+                now["score"] = now["score"] * aged + WATCH_POINTS.get(detector, 0)
+                now["last"] = at if now["last"] is None else max(now["last"], at)
+                reached = 2 if now["score"] >= critical else 1 if now["score"] >= high else 0
+                told, now["told"] = now["told"], max(now["told"], reached)
+                out.append((key[0], ts, detector, round(now["score"], 6), ("high", "critical")[reached - 1] if reached > told else None))
+        state.update((json.dumps(now),))
+        state.setTimeoutTimestamp(max(int(at * 1000) + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["ip", "ts", "detector", "score", "escalation"]).astype({"detector": "object", "escalation": "object"})
+
+    return flags.groupBy("ip").applyInPandasWithState(update, "ip string, ts timestamp, detector string, score double, escalation string", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def fan_out(stream: DataFrame, sinks: dict[str, tuple[Column, Callable[[DataFrame, int], None]]], checkpoint: str):
     """One query that hands each micro-batch to every sink whose filter holds; a batch is read once."""
 

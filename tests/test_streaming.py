@@ -93,7 +93,7 @@ def test_guard_finds_scores_and_escalates(spark, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "guard-in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "guard-in")).withWatermark("ts", "1 day")
     got = drain(guarded(stream, blocked=spark.createDataFrame([("4.4.4.4",)], "ip string")), "guard", spark, tmp_path)
-    found = sorted((r["ip"], r["detector"], r["escalation"]) for r in got)
+    found = sorted(((r["ip"], r["detector"], r["escalation"]) for r in got), key=str)
     assert [(i, d) for i, d, _ in found] == [("1.1.1.1", "brute_force"), ("2.2.2.2", "scanner_sweep"), ("3.3.3.3", "injection_probe"), ("3.3.3.3", "injection_probe"), ("4.4.4.4", "blocked_ip")]
     assert {r["score"] for r in got if r["ip"] == "1.1.1.1"} == {40.0}
     assert [e for i, _, e in found if e] == ["high"] and max(r["score"] for r in got if r["ip"] == "3.3.3.3") > 59

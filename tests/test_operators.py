@@ -92,3 +92,23 @@ def test_closures_have_no_cap_and_risks_follow(spark):
 def test_relative_imports_resolve(spark):
     files = spark.createDataFrame([("web/a.ts", "typescript", "import x from './b'\nimport y from '../lib/c'\n"), ("web/b.ts", "typescript", ""), ("lib/c.js", "javascript", "")], "path string, language string, content string")
     assert tuples(import_edges(files), "src", "dst") == [("web/a.ts", "lib/c.js"), ("web/a.ts", "web/b.ts")]
+
+
+def test_telemetry(spark):
+    from tidemark.operators.telemetry import agent_summary, breaches, coverage_facts, invariants, latency_series, module_name, subscribed, technique_hits
+
+    rows = spark.createDataFrame([(k, float(k), 500 if k == 9 else 200) for k in range(10)], "s long, value double, status int").withColumn("ts", F.timestamp_seconds("s"))
+    s = latency_series(rows, "ts", "value", "5 seconds")
+    assert tuples(s, "n", "p50", "p95", "error_share") == [(5, 2.0, 4.0, 0.0), (5, 7.0, 9.0, 0.2)]
+    assert breaches(s, 0.1, 100.0).count() == 1 and latency_series(rows, "ts", "value", "5 seconds", "1 second").count() == 14
+    assert tuples(invariants(rows, {"small": F.col("value") < 8, "known": F.col("value").isNotNull()}), "invariant", "violations", "holds") == [("known", 0, True), ("small", 2, False)]
+    f = spark.createDataFrame([("x", "a", "T1", "low"), ("x", "b", "T2", "critical"), ("y", "b", "T2", "high")], "source string, agent string, technique string, severity string")
+    assert subscribed(f, sources=["x"], level="medium").count() == 1 and subscribed(f).count() == 3
+    report = spark.createDataFrame([('{"files": {"a.py": {"executed_lines": [1, 2, 3], "missing_lines": [4]}, "b.py": {"executed_lines": [], "missing_lines": []}}}',), ("{broken",)], "value string")
+    assert tuples(coverage_facts(report), "file", "covered", "lines", "share") == [("a.py", 3, 4, 0.75), ("b.py", 0, 0, None)]
+    paths = spark.createDataFrame([("a/b/c/d.py",), ("a/x.py",), ("y.py",)], "p string")
+    assert [r[0] for r in paths.select(module_name(F.col("p"))).collect()] == ["a.b", "a", "root"]
+    hits = technique_hits(spark.createDataFrame([("r", "T1059.001"), ("q", "CWE-1")], "rule string, technique string"), spark.createDataFrame([(1, "uses T1059.001 twice T1059.001", ""), (2, None, "CWE-1")], "id int, message string, cwe string"))
+    assert tuples(hits, "rule", "id") == [("q", 2), ("r", 1)]
+    slow, wrong = agent_summary(spark.createDataFrame([("a", 5.0, 10, 9), ("b", 9.0, 2, 2), ("c", 1.0, 4, 1)], "agent string, p95 double, runs long, right long"), 2)
+    assert [r["agent"] for r in slow.collect()] == ["b", "a"] and [r["agent"] for r in wrong.collect()] == ["c", "b"]

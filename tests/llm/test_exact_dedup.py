@@ -38,7 +38,7 @@ def test_no_snapshot_empty_tables_and_clashing_names(spark):
     rows = [(1, "a", "x"), (1, "a", "y"), (2, "b", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, digest string")
     got = sorted((r["doc_id"], r["group_size"], r["kept"]) for r in exact_dedup(df).collect())
-    assert got == [(1, 2, True), (1, 2, True), (2, 1, True)]
+    assert got == [(1, 2, False), (1, 2, True), (2, 1, True)]  # exactly one row of a group stays
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup(empty).count() == 0 and exact_dedup(empty, df).count() == 3 and exact_dedup(df, empty).count() == 3
 
@@ -56,3 +56,19 @@ def test_long_text(spark):
     long = "word " * 200_000
     got = exact_dedup(spark.createDataFrame([(1, long), (2, long + " "), (3, long + "x")], SCHEMA)).collect()
     assert {r["doc_id"]: r["keep_id"] for r in got} == {1: 2, 2: 2, 3: 3}
+
+
+def test_exactly_one_row_of_a_group_stays_whatever_its_ids(spark):
+    from tidemark.llm.exact_dedup import exact_dedup
+
+    rows = [(1, "a b"), (1, "a b"), (None, "c"), (None, "c"), (None, "d"), (5, "d"), (6, "e  "), (6, "e"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (32, 1):
+        for old in (None, df.limit(0), df.where("doc_id = 1")):
+            new = df if old is None or old.isEmpty() else df.where("doc_id is null or doc_id <> 1")
+            got = exact_dedup(new, old, digest_bytes=size).collect()
+            by = {}
+            for r in got:
+                by.setdefault(r["text_sha256"], []).append(r)
+            assert len(got) == len(rows) and all(sum(r["kept"] for r in g) == 1 and {r["group_size"] for r in g} == {len(g)} for g in by.values())
+            assert {(r["doc_id"], r["keep_id"]) for r in got if r["kept"]} == {(1, 1), (None, None), (5, 5), (6, 6)}

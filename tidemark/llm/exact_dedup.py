@@ -7,9 +7,9 @@ incoming digest is screened by the filter of its bucket: a negative is certainly
 joins the snapshot's exact bucket. Whatever shares a digest is then compared byte by byte.
 
 Defined cases: a null text counts as empty, and all texts that are empty after normalisation are
-equal. Rows that repeat (same id, same text) are each a row of the result. Of equal texts the row
-with the most code points before normalisation stays, then the smallest id, one without an id last. Empty batches and
-snapshots are fine. Columns other than id and text are ignored, so their names cannot clash.
+equal. Rows that repeat (same id, same text) are each a row of the result. Of equal texts exactly one row
+stays: the one with the most code points before normalisation, then the smallest id, one without an id last (keep_id
+is null then); of rows that tie in all this, any one. Empty batches and snapshots are fine. Columns other than id and text are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -145,7 +145,7 @@ def digest_of(text: Column, digest_bytes: int = 32) -> Column:
 
 def _groups(rows: DataFrame) -> DataFrame:
     """One row a digest: its rows and the best of them."""
-    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("id").isNull().alias("none"), "id")).alias("best"))
+    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
 
 
 def exact_dedup(incoming: DataFrame, snapshot: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
@@ -165,7 +165,7 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame | None = None, *, id_co
     rows, texts = rows_of(incoming, False), texts_of(incoming)
     if snapshot is not None:
         rows, texts = rows.unionByName(rows_of(snapshot, True)), texts.unionByName(texts_of(snapshot))
-    rows = stage(rows, "digests").withColumn("digest", F.substring("sha", 1, digest_bytes))
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "digests").withColumn("digest", F.substring("sha", 1, digest_bytes))
     old, new = _groups(rows.where("old")), _groups(rows.where("not old"))
 
     most = max(1, rows.groupBy("old").count().agg(F.max("count")).first()[0] or 1)
@@ -185,12 +185,13 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame | None = None, *, id_co
     stays = full.where("id = keep_id").groupBy("digest").agg(F.min("norm").alias("stay_norm"))
     unequal = stage(full.join(stays, "digest").where("norm <> stay_norm").select("digest").distinct(), "unequal")
 
-    out = rows.join(groups, "digest").select("id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), "best", "n_cp", "sha", "digest")
+    out = rows.join(groups, "digest").select("id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), "best", "sha", "digest", "row")
     if not unequal.isEmpty():
         # Digests that different texts share: those rows are grouped by the whole text instead.
         odd = texts.select("id", "text", normalised(F.col("text")).alias("norm")).withColumn("n_cp", F.char_length("text")).withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("digest", F.substring("sha", 1, digest_bytes)).join(unequal, "digest", "left_semi")
-        whole = odd.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("id").isNull().alias("none"), "id")).alias("best"))
-        odd = odd.join(whole, "norm").select("id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), "best", "n_cp", "sha", "digest")
+        odd = stage(odd.withColumn("row", F.monotonically_increasing_id()), "odd")
+        whole = odd.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+        odd = odd.join(whole, "norm").select("id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), "best", "sha", "digest", "row")
         out = out.join(unequal, "digest", "left_anti").unionByName(odd)
-    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (-F.col("n_cp") == F.col("best.less"))
+    kept = F.col("row") == F.col("best.row")
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -141,10 +141,46 @@ from e group by conv_id
 """
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of five filters over whole documents, by language."""
+    from tidemark.llm.filter_audit import audit, failures
+
+    return audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+OP13_SQL = r"""
+with recursive d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, min(doc_id) over (partition by coalesce(text, '')) as least from documents
+), w as (
+  select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from d
+), m as (
+  select part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+      100 * len(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] as fails,
+    doc_id in (select doc_id from labels where quality = 1 and doc_id is not null) as good, doc_id in (select doc_id from labels where toxic = 1 and doc_id is not null) as toxic
+  from w
+), k as (
+  select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by part, fails
+), o as (
+  select '' as filter_order
+  union all select filter_order || l from o, unnest(['A', 'B', 'C', 'D', 'E']) as t(l) where not contains(filter_order, l)
+), s as (
+  select filter_order, step::int as step, [instr('ABCDE', substr(filter_order, i, 1))::int for i in range(1, step + 1)] as letters from o, range(1, 6) as r(step) where length(filter_order) = 5
+), x as (
+  select part, filter_order, step, fails[letters[step]] as here, len([i for i in letters[1:step - 1] if fails[i]]) > 0 as earlier, len([f for f in fails if f]) as failed, n, good, toxic, letters[step] as filter from k, s
+), g as (
+  select part, filter_order, step, filter, coalesce(sum(n) filter (not here and not earlier), 0)::bigint as kept, coalesce(sum(n) filter (here and not earlier), 0)::bigint as removed,
+    coalesce(sum(n) filter (here and earlier), 0)::bigint as redundant, coalesce(sum(n) filter (here and failed = 1), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (here and not earlier), 0)::bigint as good_lost, coalesce(sum(toxic) filter (here and not earlier), 0)::bigint as toxic_lost
+  from x group by part, filter_order, step, filter
+)
+select * exclude (filter), (sum(removed) over (partition by part, filter))::bigint as shapley from g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_packing, op3_quality_rules, op4_near_dedup, op5_url_filter, op6_bpe, op7_substring_dedup, op8_language_id, op9_html_extract, op10_chat_format]
+    found = [op1_exact_dedup, op2_packing, op3_quality_rules, op4_near_dedup, op5_url_filter, op6_bpe, op7_substring_dedup, op8_language_id, op9_html_extract, op10_chat_format, op13_filter_audit]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL, "op10_chat_format": OP10_SQL, "op13_filter_audit": OP13_SQL}

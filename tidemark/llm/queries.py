@@ -141,6 +141,40 @@ from e group by conv_id
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, rebuilt so that families share their first turns."""
+    from tidemark.llm.prefix_trie import forked, prefix_trie, turn_keys
+
+    return prefix_trie(forked(turn_keys(table(spark, sf_dir, "conversations"))))
+
+
+OP12_SQL = r"""
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role_, sha256(length(role_)::varchar || ':' || role_ || text_)) as pos
+  from (select *, coalesce(role, '') as role_, coalesce(text, '') as text_ from conversations where conv_id is not null)
+), c as (
+  select conv_id, conv_id - conv_id % 20 as base, (4294967295 - list_reduce([ascii(ch)::bigint for ch in string_split(conv_id::varchar, '')],
+      lambda s, b: list_reduce(range(8)::bigint[], lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, xor(s, b)), 4294967295::bigint)) % 4 as h
+  from (select distinct conv_id from t)
+), r as (
+  select c.conv_id, 0 as kind, t.pos, t.role, t.text from c join t on t.conv_id = c.base and t.pos <= c.h
+  union all select c.conv_id, 1, t.pos, t.role, t.text from c join t using (conv_id) where t.pos > c.h
+), p as (
+  select c.conv_id, coalesce(list(struct_pack(role := r.role, text := r.text) order by kind, pos) filter (pos is not null), []) as path from c left join r using (conv_id) group by c.conv_id
+), g as (
+  select path[1:depth] as k, depth, min(conv_id) as conv_id, count(*) as n, string_agg(conv_id::varchar, ',' order by conv_id) filter (len(path) = depth) as ends
+  from p, unnest(range(0, len(path) + 1)) as d(depth) group by all
+), x as (
+  select g.*, u.conv_id as parent_conv_id, (n - 1) * case depth when 0 then 0 else len(regexp_extract_all(k[depth].text, '[^\x20\x09-\x0D]+')) end as saved,
+    (select count(*) from g as b where b.depth = g.depth + 1 and b.k[1:g.depth] = g.k) as n_children
+  from g left join (select k as k_, conv_id from g) as u on g.depth > 0 and u.k_ = g.k[1:g.depth - 1]
+), s as (
+  select k[1:up] as k, sum(saved)::bigint as saved_tokens, count(*) filter (n_children = 0) as n_leaves from x, unnest(range(0, depth + 1)) as a(up) group by all
+)
+select conv_id, depth, parent_conv_id, n as n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) as ends_sha256 from x join s using (k)
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders of five filters over whole documents, by language."""
     from tidemark.llm.filter_audit import audit, failures
@@ -178,9 +212,9 @@ select * exclude (filter), (sum(removed) over (partition by part, filter))::bigi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_packing, op3_quality_rules, op4_near_dedup, op5_url_filter, op6_bpe, op7_substring_dedup, op8_language_id, op9_html_extract, op10_chat_format, op13_filter_audit]
+    found = [op1_exact_dedup, op2_packing, op3_quality_rules, op4_near_dedup, op5_url_filter, op6_bpe, op7_substring_dedup, op8_language_id, op9_html_extract, op10_chat_format, op12_prefix_trie, op13_filter_audit]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL, "op10_chat_format": OP10_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL, "op10_chat_format": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}

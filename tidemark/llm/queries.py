@@ -141,6 +141,25 @@ from e group by conv_id
 """
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every fiftieth."""
+    from tidemark.llm.top_k import top_k
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP11_SQL = """
+with v as (
+  select vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
+  where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), s as (
+  select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score from v as q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s qualify rank <= 5
+"""
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, rebuilt so that families share their first turns."""
     from tidemark.llm.prefix_trie import forked, prefix_trie, turn_keys
@@ -212,9 +231,9 @@ select * exclude (filter), (sum(removed) over (partition by part, filter))::bigi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_packing, op3_quality_rules, op4_near_dedup, op5_url_filter, op6_bpe, op7_substring_dedup, op8_language_id, op9_html_extract, op10_chat_format, op12_prefix_trie, op13_filter_audit]
+    found = [op1_exact_dedup, op2_packing, op3_quality_rules, op4_near_dedup, op5_url_filter, op6_bpe, op7_substring_dedup, op8_language_id, op9_html_extract, op10_chat_format, op11_top_k, op12_prefix_trie, op13_filter_audit]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL, "op10_chat_format": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL, "op10_chat_format": OP10_SQL, "op11_top_k": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.windows import log
+from tidemark.plans.staging import stage
 
 #: What a row is judged by, in this order.
 FEATURES = ("status", "path_length", "slashes", "is_post", "is_server_error", "is_missing", "query_length")
@@ -131,8 +132,9 @@ def outliers(rows: DataFrame, forest: Forest, cut: float = 0.0) -> DataFrame:
     Rows that look alike are scored once: features of a log repeat, so scoring meets few distinct rows.
     """
     seen = rows.drop("score").withColumn("_x", features())
-    scored = seen.select("_x").distinct().withColumn("score", F.round(decision(forest, F.col("_x")), 9)).where(F.col("score") < cut)
-    return seen.join(scored, "_x").drop("_x")
+    scored = seen.select("_x").distinct().withColumn("score", F.round(decision(forest, F.col("_x")), 9))
+    # Written, or the planner would infer the same walk through all trees as a filter over every row.
+    return seen.join(stage(scored, "scores").where(F.col("score") < cut), "_x").drop("_x")
 
 
 def learned_outliers(spark, sf_dir):

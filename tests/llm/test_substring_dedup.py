@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.llm.substring_dedup import chains, cut_passages, minimizers, outdone, passages_of, repeated_passages, segments, sure_pieces
 
@@ -228,3 +229,54 @@ def test_periodic_texts_are_whole_and_cheap(spark):
     assert len(got) <= 12
     for doc, lo, hi in ((1, 40, 540), (2, 40, 240), (11, 0, 300)):
         assert set(range(lo, hi)) <= {i for g in got if g["doc"] == doc for i in range(g["start"], g["end"])}
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def changed(r, passage, kinds, share):
+    out = []
+    for w in passage:
+        kind = r.choice(kinds) if r.random() < share else "keep"
+        out += {"keep": [w], "delete": [], "insert": [w, *words(r, 1, "i")], "replace": words(r, 1, "r")}[kind]
+    return out
+
+
+@pytest.mark.parametrize("kinds", [["insert"], ["delete"], ["replace"], ["insert", "delete", "replace"]])
+def test_recall_of_passages_with_edits(spark, kinds):
+    """Planted in one corpus: at least nine of ten of those that are alike enough, by their longest common subsequence."""
+    r = random.Random(str(kinds))
+    rows, planted = [], {}
+    for k in range(120):
+        p = words(r, (60, 90, 130, 200)[k % 4])
+        q = changed(r, p, kinds, (0.05, 0.1, 0.15)[k % 3])
+        if len(q) > 51 and lcs(p, q) >= 0.75 * max(len(p), len(q)):
+            planted[2 * k + 1] = (2 * k, len(q))
+        rows += [(2 * k, " ".join(words(r, 70) + p + words(r, 70))), (2 * k + 1, " ".join(words(r, 70) + q + words(r, 70)))]
+    got = found(spark, rows)
+    assert all(g["source"] == g["doc"] - 1 for g in got)
+    whole = 0
+    for doc, (_, n) in planted.items():
+        have = {k for g in got if g["doc"] == doc for k in range(g["start"], g["end"])}
+        whole += len(have & set(range(70, 70 + n))) >= 0.9 * n
+        assert len(have - set(range(70, 70 + n))) <= 12
+    assert len(planted) > 80 and whole >= 0.9 * len(planted), (whole, len(planted))
+
+
+def test_passages_with_every_eighth_word_gone_or_new(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(40):
+        p = words(r, (120, 200)[k % 2])
+        q = [x for i, w in enumerate(p) for x in ([] if i % 8 == 7 and k % 4 < 2 else [w, f"n{k}{i}"] if i % 8 == 7 else [w])]
+        rows += [(2 * k, " ".join(words(r, 50) + p + words(r, 50))), (2 * k + 1, " ".join(words(r, 50) + q + words(r, 50)))]
+    got = found(spark, rows)
+    lengths = {k: len(rows[k][1].split()) - 100 for k in range(1, 80, 2)}
+    whole = [d for d, n in lengths.items() if any(g["doc"] == d and g["end"] - g["start"] >= 0.9 * n for g in got)]
+    assert len(whole) >= 38

@@ -7,15 +7,18 @@
 2. Each occurrence of a seed is tied to the first document that has it, the hub, and to the last
    document before its own, as one anchor (hub, doc, hub position, position) each; a seed with m of
    them makes less than 2m anchors and not m^2. A seed carries two bits of each of the eight words on
-   either side; where these bits differ on both sides too much for a similar passage, there is no anchor.
+   either side; an anchor says whether these agree.
    Tasks pack their seeds in blocks by bucket of the hash. A seed that more than ``CROWD`` documents
    of a block share is tied inside the block, and only its first and last occurrence there go on, so
    no frequent seed gathers in one task.
 3. Anchors of a (doc, hub) pair are merged along diagonals and chained with a linear gap cost; the
-   best predecessor comes from a Fenwick tree of prefix maxima over hub positions. Where anchors alone
+   best predecessor comes from a Fenwick tree of prefix maxima over hub positions. A chain of a single
+   anchor counts only where the words beside it agree; inserted and deleted words shift those, but leave
+   other anchors near. Of equally good predecessors and chains the later found. Where anchors alone
    prove a passage, chains of other sources inside it are left out: they add no words to it.
 4. Chains are aligned on the words of both texts: matches along the diagonals, the best switch point
-   in gaps where the diagonal moves, and extension at both ends. The aligned words are cut at the
+   in gaps where the diagonal moves, and extension at both ends. In what stays unequal between two
+   places, and beyond the ends, runs of three words of a longest common subsequence count too. The aligned words are cut at the
    longest unlike stretch until every piece is alike, inside a diagonal too; pieces too short alone
    join a neighbour where both are alike together. A passage is reported from ``min_words`` words and
    ``similarity`` on.
@@ -54,6 +57,8 @@ CONTEXT = 8  # words on each side of a seed of which two bits are known
 ONE_SIDE, BOTH_SIDES = 6, 9  # of them equal, so that a seed is an anchor
 GAP_WORDS = WINDOW + SHINGLE + CONTEXT  # nothing reaches from one text to the next
 CHUNK_WORDS = 100_000  # whose seeds are looked for at once
+RUN = 3  # equal words in a row that count in a stretch with inserted or deleted words
+HOLE = 10_000  # places of such a stretch, one text's words times the other's
 BLOCK = 1 << 19  # seeds that a task holds at once
 CROWD = 16  # documents of a block that share a seed, beyond which it is tied inside the block
 BUCKET_BYTES = 32 << 20  # of text
@@ -144,9 +149,9 @@ def _from_planes(data: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
 
 
 def _tied(h: np.ndarray, doc: np.ndarray, place: np.ndarray, context: np.ndarray, crowd: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors (doc, hub, y, x) of seeds sorted by (h, doc, place), and which seeds others need.
+    """Anchors (doc, hub, y, 2 x + alike) of seeds sorted by (h, doc, place), and which seeds others need.
 
-    The n-th occurrence in a document is tied to the n-th in the other one, counting round, so periodic
+    alike: whether the words beside both seeds agree. The n-th occurrence in a document is tied to the n-th in the other one, counting round, so periodic
     texts stay on one diagonal. With a ``crowd``, only hashes that more than so many documents have are
     tied, and of these only the first and the last document are needed further.
     """
@@ -174,9 +179,8 @@ def _tied(h: np.ndarray, doc: np.ndarray, place: np.ndarray, context: np.ndarray
     agree = ~(apart | apart >> np.uint32(1)) & np.uint32(0x55555555)
     left, right = np.bitwise_count(agree & np.uint32(0xFFFF)), np.bitwise_count(agree >> np.uint32(16))
     alike = far | (left >= ONE_SIDE) | (right >= ONE_SIDE) | (left + right >= BOTH_SIDES)
-    row, tied, far = row[alike], tied[alike], far[alike]
-    row, tied, more = np.concatenate([row, row[far]]), np.concatenate([tied, tied[far]]), np.concatenate([np.zeros(len(row), dtype=np.int64), np.full(int(far.sum()), LONG - SHINGLE)])
-    return np.stack([doc[row], doc[tied], place[row] + more, place[tied] + more]), needed
+    row, tied, more, alike = np.concatenate([row, row[far]]), np.concatenate([tied, tied[far]]), np.concatenate([np.zeros(len(row), dtype=np.int64), np.full(int(far.sum()), LONG - SHINGLE)]), np.concatenate([alike, alike[far]])
+    return np.stack([doc[row], doc[tied], place[row] + more, 2 * (place[tied] + more) + alike]), needed
 
 
 def _seeds(buckets: int):
@@ -240,7 +244,7 @@ def _unpacked(packed: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors (doc, hub, y, x) out of packed seeds, one bucket after the other."""
+    """Anchors (doc, hub, y, 2 x + alike) out of packed seeds, one bucket after the other."""
 
     def made(m: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, m.shape[1], BATCH):
@@ -271,11 +275,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Anchors sorted by (y, x) to rows (x first, x last, y first, y last) along diagonals."""
+    """Anchors sorted by (y, x) to rows (x first, x last, y first, y last, place of the first) along diagonals."""
     same = (np.diff(x - y) == 0) & (np.diff(y) <= MERGE)
     start = np.flatnonzero(np.concatenate([[True], ~same]))
     end = np.concatenate([start[1:], [len(x)]]) - 1
-    return np.stack([x[start], x[end], y[start], y[end]], axis=1)
+    return np.stack([x[start], x[end], y[start], y[end], start], axis=1)
 
 
 def chains(seg: np.ndarray) -> list[list[int]]:
@@ -289,7 +293,7 @@ def chains(seg: np.ndarray) -> list[list[int]]:
     by_end = sorted(range(n), key=lambda i: seg[i, 3])
     by_start = sorted(range(n), key=lambda i: (seg[i, 2], seg[i, 0]))
     score, prior, put = [0.0] * n, [-1] * n, 0
-    rows = seg.tolist()
+    rows = seg[:, :4].tolist()
     for i in by_start:
         x0, x1, y0, y1 = rows[i]
         while put < n and rows[by_end[put]][3] < y0:
@@ -355,13 +359,20 @@ def outdone(spans: list[tuple[int, int, int]], pieces: list[tuple[int, int, int]
 
 
 def _doc_chains(m: np.ndarray, pieces: list[tuple[int, int, int]], min_words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Chains (hub, segments) of one document's anchors that no sure piece outdoes."""
+    """Chains (hub, segments) of one document's anchors that no sure piece outdoes.
+
+    A chain is two anchors that lie near each other, or one between words that agree: inserted and deleted words
+    shift what lies beside an anchor, but a passage that has some has other anchors too.
+    """
     cut = np.flatnonzero(np.diff(m[1]) != 0) + 1
     found = []
     for a, b in zip([0, *cut.tolist()], [*cut.tolist(), m.shape[1]], strict=True):
         seg = segments(m[3, a:b], m[2, a:b])
         for path in chains(seg):
             part = seg[path]
+            if len(part) == 1 and part[0, 2] == part[0, 3] and not m[4, a + part[0, 4]]:
+                continue
+            part = part[:, :4]
             if part[-1, 3] - part[0, 2] + SHINGLE + 2 * MARGIN >= min_words:  # what an alignment can reach
                 found.append((int(m[1, a]), part))
     drop = outdone([(int(p[0, 2]), int(p[-1, 3]) + SHINGLE, hub) for hub, p in found], pieces) if pieces and len(found) > 1 else [False] * len(found)
@@ -370,15 +381,21 @@ def _doc_chains(m: np.ndarray, pieces: list[tuple[int, int, int]], min_words: in
 
 def _chained(min_words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((4, 0), dtype=np.int64)
+        rest = np.empty((5, 0), dtype=np.int64)
         out: list[list] = [[] for _ in range(7)]
 
         def documents(m: np.ndarray) -> None:
+            # An anchor that is the only one of two documents needs words that agree beside it.
+            other = (np.diff(m[0]) != 0) | (np.diff(m[1]) != 0)
+            single = np.concatenate([[True], other]) & np.concatenate([other, [True]])
+            m = m[:, ~single | (m[4] == 1)]
             pieces: dict[int, list] = {}
             for doc, hub, lo, hi in zip(*(c.tolist() for c in sure_pieces(m, min_words, similarity)), strict=True):
                 pieces.setdefault(doc, []).append((lo, hi, hub))
             cut = np.flatnonzero(np.diff(m[0]) != 0) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), m.shape[1]], strict=True):
+                if a == b:
+                    continue
                 doc = int(m[0, a])
                 for hub, part in _doc_chains(m[:, a:b], pieces.get(doc, []), min_words):
                     lo, hi = max(0, part[0, 2] - MARGIN), part[-1, 3] + SHINGLE + MARGIN
@@ -396,7 +413,10 @@ def _chained(min_words: int, similarity: float):
         for batch in batches:  # sorted by (doc, hub, y, x); a document can reach over batches
             if not batch.num_rows:
                 continue
-            m = np.concatenate([rest, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])], axis=1)
+            new = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2, 3, 3)])
+            new[3] >>= 1
+            new[4] &= 1
+            m = np.concatenate([rest, new], axis=1)
             last = np.flatnonzero(m[0] != m[0, -1])
             keep = last[-1] + 1 if len(last) else 0
             if keep:
@@ -447,6 +467,47 @@ def columns(hub: np.ndarray, doc: np.ndarray, parts: np.ndarray) -> tuple[np.nda
     return tuple(np.concatenate([np.arange(r[i], r[i] + r[2]) for r in runs]) for i in (0, 1))
 
 
+def common_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs (place in a, in b, words) of at least RUN words in a longest common subsequence of two short stretches."""
+    if min(len(a), len(b)) < RUN or len(a) * len(b) > HOLE:
+        return []
+    grams = [w[:-2].astype(np.uint64) * np.uint64(0x9E3779B1) + w[1:-1] * np.uint64(0x85EBCA77) + w[2:] for w in (a, b)]
+    if not np.isin(*grams).any():
+        return []
+    best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int16)
+    equal = a[:, None] == b[None, :]
+    for i in range(len(a)):
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + equal[i]))
+    rows, out, i, j = best.tolist(), [], len(a), len(b)
+    while i and j:
+        if rows[i - 1][j] == rows[i][j]:
+            i -= 1
+        elif rows[i][j - 1] == rows[i][j]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            if out and out[-1][0] == i + 1 and out[-1][1] == j + 1:
+                out[-1] = (i, j, out[-1][2] + 1)
+            else:
+                out.append((i, j, 1))
+    return [r for r in reversed(out) if r[2] >= RUN]
+
+
+def filled(hub: np.ndarray, doc: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal places (x, y) with those that inserted and deleted words hide: between them and for MARGIN words beyond."""
+    fx, fy = np.concatenate([[max(-1, x[0] - MARGIN - 1)], x, [min(len(hub), x[-1] + MARGIN + 1)]]), np.concatenate([[max(-1, y[0] - MARGIN - 1)], y, [min(len(doc), y[-1] + MARGIN + 1)]])
+    found = [(x, y)]
+    for k in np.flatnonzero((np.diff(fx) > RUN) & (np.diff(fy) > RUN)).tolist():
+        a, b = int(fx[k]) + 1, int(fy[k]) + 1
+        for i, j, n in common_runs(hub[a : fx[k + 1]], doc[b : fy[k + 1]]):
+            found.append((np.arange(a + i, a + i + n), np.arange(b + j, b + j + n)))
+    if len(found) == 1:
+        return x, y
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(x, kind="stable")
+    return x[order], y[order]
+
+
 def _pieces(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float) -> list[tuple[int, int]]:
     """Ranges of the equal places (x, y) that are passages."""
     lost = np.maximum(np.diff(x), np.diff(y)) - 1  # unequal words after each equal one
@@ -487,9 +548,11 @@ def passages_of(hub: np.ndarray, doc: np.ndarray, parts: np.ndarray, min_words:
     """Aligned passages (hub from, to, doc from, to, matches) of a chain, cut wherever it is too unlike."""
     x, y = columns(hub, doc, parts)
     equal = np.flatnonzero(hub[x] == doc[y])
-    if not len(equal) or min(x[equal[-1]] - x[equal[0]], y[equal[-1]] - y[equal[0]]) + 1 < min_words:
+    if not len(equal):
+        return []
+    x, y = filled(hub, doc, x[equal], y[equal])
+    if min(x[-1] - x[0], y[-1] - y[0]) + 1 < min_words:
         return []
-    x, y = x[equal], y[equal]
     return [(x[i], x[j] + 1, y[i], y[j] + 1, j - i + 1) for i, j in _pieces(x, y, min_words, similarity)]
 
 

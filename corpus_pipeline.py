@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import exact_dedup, normalised
 from tidemark.llm.language_id import identify, learn
+from tidemark.llm.names import free
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
 from tidemark.llm.substring_dedup import cut_passages, repeated_passages
@@ -26,14 +27,15 @@ LEAST_COSINE = 0.1
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels teach; those without a letter or unlike all go."""
     ship(spark)
-    found = identify(docs, learn(docs), docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))  # so no name meets those that are added
+    found = identify(plain, learn(docs), plain.columns, text_col=f"_{docs.columns.index('text')}")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).select(*plain.columns).toDF(*docs.columns)
 
 
 def _one(docs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """One row for each combination of ``keys``."""
-    least = docs.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_row"))
-    return least.select("_row.*")
+    (row,) = free(docs.columns, "_row")
+    return docs.groupBy(*keys).agg(F.min(F.struct(*columns)).alias(row)).select(f"{row}.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,29 +43,31 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     first = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(False))
     decided = exact_dedup(docs.where(~first), docs.where(first))
-    keys = ["_id", "_none", "_sha"]
-    id_keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
-    kept = decided.where("kept").select(*id_keys, F.unhex("text_sha256").alias("_sha")).distinct()
-    rows = docs.select("*", *id_keys, F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("_sha"), (-F.char_length(F.coalesce("text", F.lit("")))).alias("_less"))
-    return _one(rows.join(kept, keys, "left_semi"), keys, ["_less", *docs.columns]).select(*docs.columns)
+    id_, none, sha, less = free(docs.columns, "_id", "_none", "_sha", "_less")
+    id_keys = [F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(none)]
+    kept = decided.where("kept").select(*id_keys, F.unhex("text_sha256").alias(sha)).distinct()
+    rows = docs.select("*", *id_keys, F.unhex(F.sha2(normalised(F.col("text")), 256)).alias(sha), (-F.char_length(F.coalesce("text", F.lit("")))).alias(less))
+    return _one(rows.join(kept, [id_, none, sha], "left_semi"), [id_, none, sha], [less, *docs.columns]).select(*docs.columns)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_key``: the id; a hash beyond all ids for rows without one and for further texts of one id."""
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``key``: the id; a hash beyond all ids for rows without one and for further texts of one id."""
+    low, high = free(docs.columns, "_low", "_high")
     text = F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))
-    shared = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_low"), F.max(text).alias("_high")).where("_low <> _high")
-    shared = stage(shared.select("doc_id", "_low"), "shared-ids")
+    shared = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias(low), F.max(text).alias(high)).where(F.col(low) != F.col(high))
+    shared = stage(shared.select("doc_id", low), "shared-ids")
     far = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND(2**61 - 1) + F.lit(2**62)
-    own = F.col("doc_id").isNotNull() & (F.col("_low").isNull() | (F.col("_low") == text))
-    return docs.join(shared, "doc_id", "left").select(*docs.columns, F.when(own, F.col("doc_id").cast("long")).otherwise(far).alias("_key"))
+    own = F.col("doc_id").isNotNull() & (F.col(low).isNull() | (F.col(low) == text))
+    return docs.join(shared, "doc_id", "left").select(*docs.columns, F.when(own, F.col("doc_id").cast("long")).otherwise(far).alias(key))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates; different texts of one id are judged each."""
     ship(spark)
-    keyed = _keyed(docs)
-    kept = near_dedup(keyed, id_col="_key").where("kept").select("_key").distinct()
-    return _one(keyed.join(kept, "_key", "left_semi"), ["_key"], docs.columns)
+    (key,) = free(docs.columns, "_key")
+    keyed = _keyed(docs, key)
+    kept = near_dedup(keyed, id_col=key).where("kept").select(key).distinct()
+    return _one(keyed.join(kept, key, "left_semi"), [key], docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

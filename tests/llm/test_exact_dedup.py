@@ -72,3 +72,14 @@ def test_exactly_one_row_of_a_group_stays_whatever_its_ids(spark):
                 by.setdefault(r["text_sha256"], []).append(r)
             assert len(got) == len(rows) and all(sum(r["kept"] for r in g) == 1 and {r["group_size"] for r in g} == {len(g)} for g in by.values())
             assert {(r["doc_id"], r["keep_id"]) for r in got if r["kept"]} == {(1, 1), (None, None), (5, 5), (6, 6)}
+
+
+@pytest.mark.parametrize("ids", [False, True])
+def test_different_texts_that_share_a_digest_all_stay(spark, ids):
+    """600 texts in 256 digests, with and without ids, and copies that fill many comparing tasks."""
+    rows = [(k if ids else None, f"text {k}") for k in range(600)] + [(k if ids else None, "copy") for k in range(1000, 4000)]
+    got = exact_dedup(spark.createDataFrame(rows, SCHEMA), digest_bytes=1).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["text_sha256"], []).append(r)
+    assert len(got) == len(rows) and len(by) == 601 and all(sum(r["kept"] for r in g) == 1 and {r["group_size"] for r in g} == {len(g)} for g in by.values())

@@ -32,3 +32,23 @@ def test_cases(spark):
     assert identify(df.limit(0), learn(df), ["doc_id"]).count() == 0
     assert {r["lang_pred"] for r in identify(df, learn(df.limit(0)), ["doc_id"]).collect()} == {"und"}
     assert spark.range(3).select(held_out(F.col("id"))).count() == 3
+
+
+def test_rare_languages_are_learned_and_predictions_are_the_nearest_prototype(spark):
+    """One document of a rare language beside many; every prediction against cosines computed one by one."""
+    common = [(i, f"the and of that with word{i} and this", "en") for i in range(400)] + [(1000 + i, f"der die das und mit wort{i} nicht", "de") for i in range(300)]
+    rows = [*common, (5000, "ett och att det som en på är av för", "sv"), (5001, "och det är en att på", None), (5002, "and that the", None), (5003, "und nicht die", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = learn(df, sample=50)
+    assert list(learned) == ["de", "en", "sv"]
+    got = {r["doc_id"]: r for r in identify(df, learned, ["doc_id"]).collect()}
+    assert got[5001]["lang_pred"] == "sv" and got[5002]["lang_pred"] == "en" and got[5003]["lang_pred"] == "de"
+    vectors = document_vectors([t for _, t, _ in rows]).astype(float)
+    for (i, _, _), v in zip(rows, vectors, strict=True):
+        cosines = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in learned.items()}
+        assert got[i]["lang_pred"] == max(cosines, key=cosines.get) and abs(got[i]["score"] - max(0, max(cosines.values()))) < 1e-5
+    # The rare language's prototype is the unit vector of its one document.
+    assert np.allclose(learned["sv"], vectors[700] / np.linalg.norm(vectors[700]), atol=1e-5)
+    # A sample takes the smallest hashes of ids, so it does not depend on partitions.
+    again = learn(df.repartition(7), sample=50)
+    assert all(np.allclose(learned[k], again[k]) for k in learned)

@@ -93,3 +93,18 @@ def test_rows_that_share_an_id_or_have_none(spark):
     texts = [t for _, t in out]
     assert len(out) == 5 and (1, a) in out and b in texts and e in texts
     assert sum(t in (c, c + " x") for t in texts) == 1 and sum(t in (d, d + " x") for t in texts) == 1
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    extra = ["_id", "_key", "_sha", "_row", "_low", "_doc", "_spans", "lang_pred", "score", "h", "id", "_0"]
+    words = lambda a, b: " ".join(f"die{k}" for k in range(a, b))
+    rows = [(1, words(0, 60_000), "de", 1), (2, words(0, 60_000), "de", 2), (3, words(50_000, 50_080) + " " + words(70_000, 70_050), "de", 3), (4, words(90_000, 90_040), "de", 4), (5, None, "de", 5), (6, "123", None, 6)]
+    schema = "doc_id long, text string, lang string, n_chars int, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(*r, *(f"{c} {r[0]}" for c in extra)) for r in rows], schema)
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stage(step(spark, docs, SF), "clash")
+        assert docs.columns == ["doc_id", "text", "lang", "n_chars", *extra]
+    got = {r["doc_id"]: r for r in docs.collect()}
+    assert set(got) == {1, 3, 4} and all(r["_key"] == f"_key {i}" and r["score"] == f"score {i}" for i, r in got.items())
+    assert got[1]["text"] == rows[0][1] and got[3]["text"] == words(70_000, 70_050)
+    assert {r["doc_id"] for r in corpus_pipeline.packed(spark, docs, SF).collect()} == {1, 3, 4}

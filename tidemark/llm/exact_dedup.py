@@ -24,6 +24,8 @@ from tidemark.plans.staging import stage
 WHITE = " \t\n\x0b\x0c\r"
 #: Digests a bucket should hold; bounds what one task needs for one filter.
 BUCKET_ROWS = 16_384
+#: Texts of one digest that are compared in one task, about.
+SALT_ROWS = 1024
 FILTER_SCHEMA = "bucket int, seed long, segment int, segments int, marks binary"
 
 
@@ -177,13 +179,19 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame | None = None, *, id_co
     groups = both.groupBy("digest").agg(F.sum("n").alias("n"), F.min("best").alias("best"))
     groups = stage(groups.unionByName(new.join(hits, "digest", "left_anti")), "groups")
 
-    # Byte check: what shares a digest is compared with the row that stays.
-    shared = groups.where("n > 1").select("digest", F.col("best.id").alias("keep_id"))
-    members = rows.join(shared, "digest").select("id", "digest", "keep_id").distinct()
-    full = texts.join(members, "id").withColumn("norm", normalised(F.col("text"))).where(F.substring(F.unhex(F.sha2("norm", 256)), 1, digest_bytes) == F.col("digest"))
-    full = stage(full.select("id", "keep_id", "digest", "norm"), "members")  # the texts are shuffled once
-    stays = full.where("id = keep_id").groupBy("digest").agg(F.min("norm").alias("stay_norm"))
-    unequal = stage(full.join(stays, "digest").where("norm <> stay_norm").select("digest").distinct(), "unequal")
+    # Byte check: what shares a digest is compared with the row that stays. Rows find their texts by id and
+    # whole digest, rows without an id by the digest alone.
+    shared = groups.where("n > 1").select("digest", F.col("best.id").alias("keep_id"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    row_key = [F.coalesce("id", F.lit(0)).alias("known_id"), F.col("id").isNull().alias("none"), "sha"]
+    members = rows.join(shared, "digest").select(*row_key, "digest", "keep_id", "salts").distinct()
+    whole = texts.select("id", normalised(F.col("text")).alias("norm")).withColumn("sha", F.unhex(F.sha2("norm", 256))).select(*row_key, "norm")
+    full = whole.join(members, ["known_id", "none", "sha"])
+    full = stage(full.select(F.when(~F.col("none"), F.col("known_id")).alias("id"), "keep_id", "digest", "salts", "norm", F.monotonically_increasing_id().alias("nth")), "members")  # the texts are shuffled once
+    # The one text goes to as many tasks as its copies fill.
+    stays = full.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "salts").agg(F.min("norm").alias("stay_norm"))
+    stays = stays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("digest", "salt", "stay_norm")
+    full = full.withColumn("salt", F.pmod(F.xxhash64("nth"), F.col("salts")).cast("int"))
+    unequal = stage(full.join(stays, ["digest", "salt"]).where("norm <> stay_norm").select("digest").distinct(), "unequal")
 
     out = rows.join(groups, "digest").select("id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), "best", "sha", "digest", "row")
     if not unequal.isEmpty():

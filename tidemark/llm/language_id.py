@@ -18,16 +18,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.caches import claim
-from tidemark.llm.sampling import smallest_hashes
 
 DIMENSIONS = 1024
 SYMBOLS = 4096
-#: Labelled documents that the prototypes are learned from, at most (those of the smallest hashes).
-SAMPLE = 4000
+#: Labelled documents of each language that its prototype is learned from, at most (those of the smallest hashes),
+#: so a language with few documents is learned beside one with many.
+SAMPLE = 1500
 GROUP = 64
 
 
@@ -100,13 +100,20 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Prototype of each language, from at most ``sample`` labelled documents (more only at ties)."""
+    """Prototype of each language, from at most ``sample`` labelled documents of it.
+
+    A first cut by hash, by each language's count, leaves about twice as many as are wanted, so what is ordered and
+    moved grows with the number of languages only.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    cut = smallest_hashes(rows.select("h"), "h", sample).agg(F.max(F.xxhash64("h"))).first()[0]
-    if cut is None:
-        return {}
-    # A bounded number of rows in eight parts, so a bounded number of vectors for the driver.
-    found = rows.where(F.xxhash64("h") <= F.lit(cut)).select("lang", "text").repartition(8).mapInArrow(_bundles, "lang string, bundle array<double>").collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n"))
+    cuts = counts.select("lang", F.when(share >= 1, F.lit(2**63 - 1)).otherwise(F.floor((share - 0.5) * 2.0**64)).cast("long").alias("cut"))
+    near = rows.join(cuts, "lang").where("h <= cut")
+    order = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    chosen = near.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= sample).select("lang", "text")
+    # Eight parts, so at most eight vectors of a language for the driver.
+    found = chosen.repartition(8).mapInArrow(_bundles, "lang string, bundle array<double>").collect()
     out: dict[str, np.ndarray] = {}
     for r in found:
         out[r["lang"]] = out.get(r["lang"], 0) + np.array(r["bundle"])

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.caches import claim
+from tidemark.llm.names import free
 from tidemark.llm.words import SHINGLE, mix, shingle_hashes, word_hashes
 from tidemark.plans.staging import stage
 
@@ -616,10 +617,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def cut_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the words of their passages; a text with nothing else becomes empty."""
-    spans = passages.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    of, own = free(docs.columns, "_doc", "_spans")
+    spans = passages.groupBy(F.col("doc").alias(of)).agg(F.collect_set(F.struct("start", "end")).alias(own))
     if passages.limit(BROADCAST_PASSAGES + 1).count() <= BROADCAST_PASSAGES:
         spans = F.broadcast(spans)  # then the texts are not shuffled
-    joined = docs.join(spans, docs[id_col] == F.col("_doc"), "left")
+    joined = docs.join(spans, docs[id_col] == F.col(of), "left")
 
     @F.pandas_udf("string")
     def without(text, spans):
@@ -639,5 +641,5 @@ def cut_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id"
             out.append("".join(kept).rstrip(" \t\n\x0b\x0c\r") if at else t)
         return pd.Series(out, dtype=object)
 
-    cut = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_spans")))
+    cut = F.when(F.col(own).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col(own)))
     return joined.select(*[cut.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -51,6 +51,7 @@ MARGIN = 48  # words beyond a chain that its alignment may reach
 GRID = 32  # hub spans start and end at multiples, so many chains ask for one span
 GAP = 0.08  # per word that a gap spans, on each side
 MERGE = 64
+MOST_SHIFT = 16  # words inserted or deleted between two anchors that support each other
 LONG = 35  # words; WINDOW + LONG - 1 = 50
 MOST_LOST = 12  # unequal words in a row beyond which two passages are reported instead of one
 MIN_WORDS = 50
@@ -59,6 +60,7 @@ ONE_SIDE, BOTH_SIDES = 6, 9  # of them equal, so that a seed is an anchor
 GAP_WORDS = WINDOW + SHINGLE + CONTEXT  # nothing reaches from one text to the next
 CHUNK_WORDS = 100_000  # whose seeds are looked for at once
 RUN = 3  # equal words in a row that count in a stretch with inserted or deleted words
+LEAST_RUNS = 0.24  # of them for each word of the shortest passage; with every fifth word changed 0.4 are left
 HOLE = 10_000  # places of such a stretch, one text's words times the other's
 BLOCK = 1 << 19  # seeds that a task holds at once
 CROWD = 16  # documents of a block that share a seed, beyond which it is tied inside the block
@@ -342,6 +344,21 @@ def sure_pieces(m: np.ndarray, min_words: int, similarity: float) -> tuple[np.nd
     return m[0, start], m[1, start], m[2, start], m[2, last] + SHINGLE
 
 
+def supported(m: np.ndarray) -> np.ndarray:
+    """Which anchors count: those whose words beside agree, and those with another one of both documents near.
+
+    ``m``: rows doc, hub, y, x, alike, sorted. Near: of the next two before and behind one at most MERGE words away
+    in the document and MOST_SHIFT diagonals off. In a passage with inserted and deleted words anchors are denser.
+    """
+    out = m[4] == 1
+    for step in (1, 2):
+        a, b = m[:, :-step], m[:, step:]
+        near = (a[0] == b[0]) & (a[1] == b[1]) & (b[2] - a[2] <= MERGE) & (np.abs(b[3] - b[2] - a[3] + a[2]) <= MOST_SHIFT) & (b[2] > a[2]) & (b[3] > a[3])
+        out[:-step] |= near
+        out[step:] |= near
+    return out
+
+
 def outdone(spans: list[tuple[int, int, int]], pieces: list[tuple[int, int, int]]) -> list[bool]:
     """Which chains (from, to, hub) lie in a longer sure piece (from, to, hub), or in an equal one of a smaller hub."""
     pieces = sorted(pieces)
@@ -386,17 +403,14 @@ def _chained(min_words: int, similarity: float):
         out: list[list] = [[] for _ in range(7)]
 
         def documents(m: np.ndarray) -> None:
-            # An anchor that is the only one of two documents needs words that agree beside it.
-            other = (np.diff(m[0]) != 0) | (np.diff(m[1]) != 0)
-            single = np.concatenate([[True], other]) & np.concatenate([other, [True]])
-            m = m[:, ~single | (m[4] == 1)]
+            m = m[:, supported(m)]
+            if not m.shape[1]:
+                return
             pieces: dict[int, list] = {}
             for doc, hub, lo, hi in zip(*(c.tolist() for c in sure_pieces(m, min_words, similarity)), strict=True):
                 pieces.setdefault(doc, []).append((lo, hi, hub))
             cut = np.flatnonzero(np.diff(m[0]) != 0) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), m.shape[1]], strict=True):
-                if a == b:
-                    continue
                 doc = int(m[0, a])
                 for hub, part in _doc_chains(m[:, a:b], pieces.get(doc, []), min_words):
                     lo, hi = max(0, part[0, 2] - MARGIN), part[-1, 3] + SHINGLE + MARGIN
@@ -468,12 +482,18 @@ def columns(hub: np.ndarray, doc: np.ndarray, parts: np.ndarray) -> tuple[np.nda
     return tuple(np.concatenate([np.arange(r[i], r[i] + r[2]) for r in runs]) for i in (0, 1))
 
 
+def shared_runs(a: np.ndarray, b: np.ndarray) -> int:
+    """How many runs of RUN words of ``b`` are in ``a`` too."""
+    if min(len(a), len(b)) < RUN:
+        return 0
+    mine, theirs = (w[:-2].astype(np.uint64) * np.uint64(0x9E3779B1) + w[1:-1] * np.uint64(0x85EBCA77) + w[2:] for w in (b, a))
+    theirs = np.sort(theirs)
+    return int((theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine).sum())
+
+
 def common_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs (place in a, in b, words) of at least RUN words in a longest common subsequence of two short stretches."""
-    if min(len(a), len(b)) < RUN or len(a) * len(b) > HOLE:
-        return []
-    grams = [w[:-2].astype(np.uint64) * np.uint64(0x9E3779B1) + w[1:-1] * np.uint64(0x85EBCA77) + w[2:] for w in (a, b)]
-    if not np.isin(*grams).any():
+    if len(a) * len(b) > HOLE or not shared_runs(a, b):
         return []
     best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int16)
     equal = a[:, None] == b[None, :]
@@ -547,6 +567,8 @@ def _trimmed(lost: np.ndarray, i: int, j: int, min_words: int, words) -> tuple[i
 
 def passages_of(hub: np.ndarray, doc: np.ndarray, parts: np.ndarray, min_words: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
     """Aligned passages (hub from, to, doc from, to, matches) of a chain, cut wherever it is too unlike."""
+    if shared_runs(hub, doc) < LEAST_RUNS * min_words:
+        return []
     x, y = columns(hub, doc, parts)
     equal = np.flatnonzero(hub[x] == doc[y])
     if not len(equal):

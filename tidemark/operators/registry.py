@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import chains, findings, graph, ignores, joins, lifecycle, logs, outliers, reports, rollups, rules, secrets, telemetry, windows
+from tidemark.operators import chains, cycles, findings, graph, ignores, joins, lifecycle, logs, outliers, reports, rollups, rules, secrets, telemetry, windows
 
 
 def modules() -> list:
-    return [findings, secrets, lifecycle, ignores, chains, windows, rollups, graph, joins, rules, logs, reports, telemetry, outliers]
+    return [findings, secrets, lifecycle, ignores, chains, windows, rollups, graph, joins, rules, logs, reports, telemetry, outliers, cycles]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

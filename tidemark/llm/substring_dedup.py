@@ -51,6 +51,7 @@ MARGIN = 48  # words beyond a chain that its alignment may reach
 GRID = 32  # hub spans start and end at multiples, so many chains ask for one span
 GAP = 0.08  # per word that a gap spans, on each side
 MERGE = 64
+SHORT = 24  # words of a chain
 MOST_SHIFT = 16  # words inserted or deleted between two anchors that support each other
 LONG = 35  # words; WINDOW + LONG - 1 = 50
 MOST_LOST = 12  # unequal words in a row beyond which two passages are reported instead of one
@@ -152,9 +153,9 @@ def _from_planes(data: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
 
 
 def _tied(h: np.ndarray, doc: np.ndarray, place: np.ndarray, context: np.ndarray, crowd: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors (doc, hub, y, 2 x + alike) of seeds sorted by (h, doc, place), and which seeds others need.
+    """Anchors (doc, hub, y, 256 x + beside) of seeds sorted by (h, doc, place), and which seeds others need.
 
-    alike: whether the words beside both seeds agree. The n-th occurrence in a document is tied to the n-th in the other one, counting round, so periodic
+    beside: how many of the words left of both seeds agree, times 16, and right of them. The n-th occurrence in a document is tied to the n-th in the other one, counting round, so periodic
     texts stay on one diagonal. With a ``crowd``, only hashes that more than so many documents have are
     tied, and of these only the first and the last document are needed further.
     """
@@ -180,10 +181,15 @@ def _tied(h: np.ndarray, doc: np.ndarray, place: np.ndarray, context: np.ndarray
     far = (h[row] & np.uint64(1)) == 1
     apart = context[row] ^ context[tied]
     agree = ~(apart | apart >> np.uint32(1)) & np.uint32(0x55555555)
-    left, right = np.bitwise_count(agree & np.uint32(0xFFFF)), np.bitwise_count(agree >> np.uint32(16))
-    alike = far | (left >= ONE_SIDE) | (right >= ONE_SIDE) | (left + right >= BOTH_SIDES)
-    row, tied, more, alike = np.concatenate([row, row[far]]), np.concatenate([tied, tied[far]]), np.concatenate([np.zeros(len(row), dtype=np.int64), np.full(int(far.sum()), LONG - SHINGLE)]), np.concatenate([alike, alike[far]])
-    return np.stack([doc[row], doc[tied], place[row] + more, 2 * (place[tied] + more) + alike]), needed
+    left, right = (np.where(far, CONTEXT, np.bitwise_count(side)).astype(np.int64) for side in (agree & np.uint32(0xFFFF), agree >> np.uint32(16)))
+    beside = left * 16 + right
+    row, tied, beside, more = np.concatenate([row, row[far]]), np.concatenate([tied, tied[far]]), np.concatenate([beside, beside[far]]), np.concatenate([np.zeros(len(row), dtype=np.int64), np.full(int(far.sum()), LONG - SHINGLE)])
+    return np.stack([doc[row], doc[tied], place[row] + more, 256 * (place[tied] + more) + beside]), needed
+
+
+def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether enough words beside two places agree."""
+    return (left >= ONE_SIDE) | (right >= ONE_SIDE) | (left + right >= BOTH_SIDES)
 
 
 def _seeds(buckets: int):
@@ -247,12 +253,12 @@ def _unpacked(packed: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors (doc, hub, y, 2 x + alike) out of packed seeds, one bucket after the other."""
+    """Anchors (doc, hub, y, 256 x + beside) out of packed seeds, one bucket after the other."""
 
     def made(m: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, m.shape[1], BATCH):
             doc, hub, y, x = m[:, at : at + BATCH]
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(hub), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32))], ["doc", "hub", "y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(hub), pa.array(y.astype(np.int32)), pa.array(x)], ["doc", "hub", "y", "x"])
 
     def bucket(parts: list[tuple[np.ndarray, ...]]) -> np.ndarray:
         h, doc, place, context = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -278,11 +284,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Anchors sorted by (y, x) to rows (x first, x last, y first, y last, place of the first) along diagonals."""
+    """Anchors sorted by (y, x) to rows (x first, x last, y first, y last, places of the first and last) along diagonals."""
     same = (np.diff(x - y) == 0) & (np.diff(y) <= MERGE)
     start = np.flatnonzero(np.concatenate([[True], ~same]))
     end = np.concatenate([start[1:], [len(x)]]) - 1
-    return np.stack([x[start], x[end], y[start], y[end], start], axis=1)
+    return np.stack([x[start], x[end], y[start], y[end], start, end], axis=1)
 
 
 def chains(seg: np.ndarray) -> list[list[int]]:
@@ -347,10 +353,10 @@ def sure_pieces(m: np.ndarray, min_words: int, similarity: float) -> tuple[np.nd
 def supported(m: np.ndarray) -> np.ndarray:
     """Which anchors count: those whose words beside agree, and those with another one of both documents near.
 
-    ``m``: rows doc, hub, y, x, alike, sorted. Near: of the next two before and behind one at most MERGE words away
+    ``m``: rows doc, hub, y, x, beside, sorted. Near: of the next two before and behind one at most MERGE words away
     in the document and MOST_SHIFT diagonals off. In a passage with inserted and deleted words anchors are denser.
     """
-    out = m[4] == 1
+    out = alike(m[4] >> 4, m[4] & 15)
     for step in (1, 2):
         a, b = m[:, :-step], m[:, step:]
         near = (a[0] == b[0]) & (a[1] == b[1]) & (b[2] - a[2] <= MERGE) & (np.abs(b[3] - b[2] - a[3] + a[2]) <= MOST_SHIFT) & (b[2] > a[2]) & (b[3] > a[3])
@@ -379,8 +385,8 @@ def outdone(spans: list[tuple[int, int, int]], pieces: list[tuple[int, int, int]
 def _doc_chains(m: np.ndarray, pieces: list[tuple[int, int, int]], min_words: int) -> Iterator[tuple[int, np.ndarray]]:
     """Chains (hub, segments) of one document's anchors that no sure piece outdoes.
 
-    A chain is two anchors that lie near each other, or one between words that agree: inserted and deleted words
-    shift what lies beside an anchor, but a passage that has some has other anchors too.
+    Short chains, of a few words that any two texts may share, count only where the words beside both ends agree.
+    Inserted and deleted words shift those, but a passage that has some has other anchors too.
     """
     cut = np.flatnonzero(np.diff(m[1]) != 0) + 1
     found = []
@@ -388,7 +394,7 @@ def _doc_chains(m: np.ndarray, pieces: list[tuple[int, int, int]], min_words: in
         seg = segments(m[3, a:b], m[2, a:b])
         for path in chains(seg):
             part = seg[path]
-            if len(part) == 1 and part[0, 2] == part[0, 3] and not m[4, a + part[0, 4]]:
+            if part[-1, 3] - part[0, 2] + SHINGLE < SHORT and not alike(m[4, a + part[0, 4]] >> 4, m[4, a + part[-1, 5]] & 15):
                 continue
             part = part[:, :4]
             if part[-1, 3] - part[0, 2] + SHINGLE + 2 * MARGIN >= min_words:  # what an alignment can reach
@@ -429,8 +435,8 @@ def _chained(min_words: int, similarity: float):
             if not batch.num_rows:
                 continue
             new = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2, 3, 3)])
-            new[3] >>= 1
-            new[4] &= 1
+            new[3] >>= 8
+            new[4] &= 255
             m = np.concatenate([rest, new], axis=1)
             last = np.flatnonzero(m[0] != m[0, -1])
             keep = last[-1] + 1 if len(last) else 0
@@ -622,7 +628,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     seeds = texts.mapInArrow(_seeds(buckets), "bucket int, packed binary")
-    anchors = seeds.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_linked, "doc long, hub long, y int, x int")
+    anchors = seeds.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_linked, "doc long, hub long, y int, x long")
     dealt = anchors.repartition("doc").sortWithinPartitions("doc", "hub", "y", "x")  # less than two anchors a seed of a document
     chained = stage(dealt.mapInArrow(_chained(min_words, similarity), CHAIN), "chains")
 

@@ -68,3 +68,42 @@ def test_secret_verdicts(spark):
     assert [r["s"]["verdict"] for r in got] == [w for _, _, w in cases]
     ssn = spark.createDataFrame([("123-45-6789",), ("000-12-3456",), ("666-12-3456",), ("912-12-3456",), ("123-00-3456",), ("123-45-0000",)], "s string")
     assert [r[0] for r in ssn.select(valid_ssn(F.col("s"))).collect()] == [True] + [False] * 5
+
+
+def test_marks_of_placeholders(spark):
+    values = ["fake_9fK2mQ8xL4vN7pR1", "[masked]9fK2mQ8xL4", "not_a_real_token_1", "9fK2mQ8xL4vN"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", secret_verdict(F.lit("password"), F.col("v")).alias("s"))
+    assert {r["v"]: r["s"]["verdict"] for r in df.collect()} == {values[0]: "credential-assignment", values[1]: None, values[2]: None, values[3]: "credential-assignment"}
+
+
+def brute_redacted(text):
+    """One line, one step after the other."""
+    import math
+    import re
+    from collections import Counter
+
+    from tidemark.operators import secrets as s
+
+    for prefix, _ in s.PROVIDERS:
+        text = re.sub(re.escape(prefix) + r"[A-Za-z0-9._/+=-]{8,}", prefix + s.HIDDEN, text)
+    names = r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|auth[_-]?token|access[_-]?token|client[_-]?secret|private[_-]?key)\b)"
+    for quote in "'\"":
+        for m in re.findall(names + r"\s*[:=]\s*" + quote + r"[^\n]{8,}?" + quote, text):
+            value = m[:-1].rpartition(quote)[2]
+            plain = value.strip().lower() in s.PLAIN_VALUES or "example" in value.lower() or set("<*") & set(value) or s.HIDDEN in value
+            if not plain:
+                text = text.replace(m, m[: len(m) - len(value) - 1] + s.HIDDEN + quote)
+    bits = lambda b: -sum(c / len(b) * math.log2(c / len(b)) for c in Counter(b).values())
+    for b in sorted({b for b in re.findall(s.BLOB, text) if round(bits(b), 3) >= 3.5}, key=lambda b: (-len(b), b)):
+        text = text.replace(b, s.HIDDEN)
+    return text
+
+
+def test_redacted_lines_row_by_row(spark):
+    from tidemark.operators.secrets import _quoted, redacted_credentials
+
+    sf = "/root/testdata/sf0.01"
+    lines = {(r["file"], r["line"]): r["body"] for r in _quoted(spark, sf).where(F.col("body").contains(" = '")).collect()}
+    want = {k: brute_redacted(v) for k, v in lines.items()}
+    got = {(r["file"], r["line"]): r["shown"] for r in redacted_credentials(spark, sf).collect()}
+    assert len(got) > 10 and got == {k: v for k, v in want.items() if v != lines[k]}

@@ -112,3 +112,30 @@ def test_telemetry(spark):
     assert tuples(hits, "rule", "id") == [("q", 2), ("r", 1)]
     slow, wrong = agent_summary(spark.createDataFrame([("a", 5.0, 10, 9), ("b", 9.0, 2, 2), ("c", 1.0, 4, 1)], "agent string, p95 double, runs long, right long"), 2)
     assert [r["agent"] for r in slow.collect()] == ["b", "a"] and [r["agent"] for r in wrong.collect()] == ["c", "b"]
+
+
+def test_nearest_is_one_pass_over_a_busy_key(spark):
+    import bisect
+    import random
+
+    r = random.Random(2)
+    rows = [(1, r.randrange(10**6), k, r.random() < 0.5) for k in range(30_000)]
+    df = spark.createDataFrame(rows, "key int, at long, id long, asks boolean")
+    got = {x["id"]: (x["nearest"], x["gap"]) for x in nearest(df, ["key"], "at", "id", F.col("asks"), ~F.col("asks")).collect()}
+    offers = {}
+    for _, at, i, asks in rows:
+        if not asks:
+            offers[at] = min(i, offers.get(at, i))
+    times = sorted(offers)
+    for _, at, i, asks in rows:
+        if asks:
+            k = bisect.bisect_left(times, at)
+            best = min((abs(t - at), t) for t in times[max(0, k - 1) : k + 1])
+            assert got[i] == (offers[best[1]], best[0])
+
+
+def test_medians_from_counts(spark):
+    from tidemark.operators.reports import medians
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("a", 9.0), ("b", 1.0), ("b", 2.0), ("b", 2.0), ("b", 8.0), ("c", None), ("d", 3.0), ("d", 4.0)], "k string, v double")
+    assert {x["k"]: x["middle"] for x in medians(df, "k", "v").collect()} == {"a": 5.0, "b": 2.0, "d": 3.5}

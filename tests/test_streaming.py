@@ -79,6 +79,10 @@ def test_sinks(spark, tmp_path):
     rows[2] = (*rows[2][:2], "forged", *rows[2][3:])
     assert [r["seq"] for r in verify_chain(spark.createDataFrame(rows, schema)).collect()] == [2]
 
+    rows[2] = ("l", 2, "b2", *rows[2][3:])
+    for bad in ((*rows[4][:4], None), (*rows[4][:3], None, rows[4][4]), (*rows[4][:2], None, *rows[4][3:])):  # nothing missing passes
+        assert [r["seq"] for r in verify_chain(spark.createDataFrame([*rows[:4], bad], schema)).collect()] == [4]
+
     got = signed(spark.createDataFrame([("x",), (None,)], "body string"), "key").collect()
     assert len(got[0]["signature"]) == 64 and got[1]["signature"] is None
 

@@ -17,7 +17,8 @@ def nearest(rows: DataFrame, keys: list[str], at: str, id_: str, asks: Column, o
     """
     offer = F.when(offers, F.struct(F.col(at).alias("at"), F.col(id_).alias("id")))
     before = F.max(offer).over(Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(offer).over(Window.partitionBy(*keys).orderBy(at).rangeBetween(0, Window.unboundedFollowing))
+    # The same looking back from the other end: a frame that only grows is never computed anew.
+    after = F.min(offer).over(Window.partitionBy(*keys).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, 0))
     seen = rows.withColumns({"_before": before, "_after": after}).where(asks)
     least = rows.where(offers).groupBy(*keys, F.col(at).alias("_at")).agg(F.min(id_).alias("_id"))  # of one moment the smallest id
     gap = F.when(F.col("_after.at").isNull() | (F.col(at) - F.col("_before.at") <= F.col("_after.at") - F.col(at)), F.col("_before.at")).otherwise(F.col("_after.at"))

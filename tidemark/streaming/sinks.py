@@ -32,11 +32,12 @@ def newest(rows: DataFrame, keys: list[str], order: list[Column], keep: int) ->
 
 
 def verify_chain(audit: DataFrame) -> DataFrame:
-    """Rows of an audit log (log, seq, body, previous_hash, entry_hash) whose link or own hash is wrong."""
+    """Rows of an audit log (log, seq, body, previous_hash, entry_hash) whose link or own hash is wrong or missing."""
     w = Window.partitionBy("log").orderBy("seq")
     linked = audit.withColumn("_before", F.coalesce(F.lag("entry_hash").over(w), F.lit("")))
-    own = F.sha2(F.concat("previous_hash", "body"), 256)
-    return linked.where((F.col("_before") != F.col("previous_hash")) | (own != F.col("entry_hash"))).drop("_before")
+    own = F.sha2(F.concat("previous_hash", "body"), 256)  # null with a null of either
+    right = F.col("_before").eqNullSafe(F.col("previous_hash")) & own.isNotNull() & own.eqNullSafe(F.col("entry_hash"))
+    return linked.where(~right).drop("_before")
 
 
 def signed(rows: DataFrame, secret: str, col: str = "body") -> DataFrame:

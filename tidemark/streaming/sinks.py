@@ -7,8 +7,10 @@ import hmac
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 from tidemark.functions.severity import SARIF_LEVEL, lookup
@@ -67,3 +69,41 @@ def deliver(post: Callable[[str, list], bool], hook: str, most_failures: int = 5
         failures = failures + 1 if bad else 0
 
     return each
+
+
+LEDGER = "hook string, ok boolean, sent long"
+
+
+def deliver_once(post: Callable[[str, list, str], bool], hook: str, folder: str, most_failures: int = 5) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that posts partitions from the executors and keeps a ledger in the shared folder.
+
+    ``post`` gets the hook, the rows and a key that is the same when a batch is repeated, so a receiver can tell. An
+    epoch in the ledger is not sent again, whatever driver asks: what was sent is repeated at most for the epoch that a
+    driver died in. A post that raises has failed. After ``most_failures`` failed epochs in a row the hook is
+    off, also for the next driver; deleting its ledger turns it on.
+    """
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(hook.encode()).hexdigest()[:16]}"
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        try:
+            known = spark.read.schema(LEDGER + ", epoch long").parquet(path).select("epoch", "ok").orderBy(F.desc("epoch")).limit(most_failures).collect()
+            done = not spark.read.schema(LEDGER + ", epoch long").parquet(path).where(F.col("epoch") == epoch).isEmpty()
+        except AnalysisException:
+            known, done = [], False  # nothing was sent yet
+        if done or len(known) == most_failures and not any(r["ok"] for r in known):
+            return
+
+        def send(parts):
+            for n, pdf in enumerate(parts):
+                key = f"{epoch}-{TaskContext.get().partitionId()}-{n}"
+                try:
+                    ok = bool(post(hook, pdf.to_dict("records"), key))
+                except Exception:  # whatever a receiver does, the stream goes on
+                    ok = False
+                yield pd.DataFrame({"ok": [ok], "n": [len(pdf)]})
+
+        sent = batch.mapInPandas(send, "ok boolean, n long").agg(F.min("ok").alias("ok"), F.sum(F.when(F.col("ok"), F.col("n"))).alias("n")).first()
+        spark.createDataFrame([(hook, sent["ok"] is not False, sent["n"] or 0)], LEDGER).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return each

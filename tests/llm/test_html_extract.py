@@ -1,7 +1,7 @@
 import random
 import time
 
-from tidemark.llm.html_extract import SURGE, WINDOW, between_surge_and_dive, extract, main_text
+from tidemark.llm.html_extract import SURGE, WINDOW, between_surge_and_dive, extract, lines_of, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- ad <p>no</p> --><div class="ad">Buy a lot of things now.</div>
@@ -94,3 +94,34 @@ def test_hostile_pages_are_linear():
         began = time.time()
         assert isinstance(main_text(page), str)
         assert time.time() - began < 5, page[:20]
+
+
+def test_surge_and_dive_end_and_begin_text_inside_articles():
+    links = "".join(f'<li><a href="/{i}">link {i}</a></li>' for i in range(4))
+    long = "<p>" + "A sentence of the article. " * 12 + "</p>"
+    residue = main_text(f"<article>{long}<ul>{links}</ul><div>Print</div><ul>{links}</ul><p>The article goes on after the lists.</p></article>")
+    assert residue.endswith("The article goes on after the lists.") and "Print" not in residue and "link" not in residue
+    # Where the page names no article, the distribution alone finds it.
+    div = main_text(f"<div>Skip</div><ul>{links}</ul><div><h1>T</h1>{long}<p>Short.</p>{long}</div><ul>{links}</ul><div>Imprint</div>")
+    assert div.startswith("T A sentence") and "Short." in div and "Imprint" not in div and "Skip" not in div
+
+
+def test_pages_whose_article_has_no_name(spark):
+    """All pages with their article as a plain block: surge and dive find the same text on nearly all of them."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r["html"]]
+    plain = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    changed = sum(a != b for a, b in zip(pages, plain, strict=True))
+    same = sum(main_text(a) == main_text(b) for a, b in zip(pages, plain, strict=True))
+    none = sum(not any(between_surge_and_dive([0] * len(lines_of(p)))) for p in plain)
+    assert changed == none == len(pages) and same >= 0.95 * len(pages), (same, len(pages))
+
+
+def test_comments_and_adverts_by_compound_names_go_and_linked_paragraphs_stay():
+    for name in ('class="user-comment"', 'id="responses"', 'class="article-ad"', 'class="reader-comments"', 'class="story-comments"', 'id="ad-slot-1"', 'class="comment-list"', 'class="related-articles"'):
+        assert main_text(f"<article><h1>Title</h1><p>The text stays here.</p><div {name}><p>Goes away now.</p></div></article>") == "Title The text stays here.", name
+    for name in ('class="article-body"', 'class="story"', 'class="entry-content"', 'class="article-header"', 'class="post"', 'class="user-guide"', 'class="response-time"'):
+        assert "Stays here." in main_text(f"<article><h1>Title</h1><div {name}><p>Stays here.</p></div></article>"), name
+    linked = "".join(f'<p><a href="/{i}">A paragraph that is a link, number {i}.</a></p>' for i in range(4))
+    assert main_text(f"<article><p>One.</p>{linked}<p>Two.</p></article>").count("number") == 4
+    assert main_text("<article><p>Body of it.</p><p>Copyright 2024 Someone</p></article>") == "Body of it."
+    assert main_text("<article><p>Body of it.</p><p>Copyright law changed.</p></article>").endswith("changed.")

@@ -1,18 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element, and every line gets a weight: the
-characters of its text outside links. The structure of the page is evidence that changes weights: lines in a
-script, style, head, menu, header, footer, sidebar, form, advert, notice or comment section weigh nothing;
-lines inside an article or main element weigh ``SURGE`` more, and then lines outside weigh only a tenth,
-and nothing if that is below ``SURGE``. A line of links alone weighs nothing, except inside an article where
-fewer than a window of them stand together. Weights are summed over sliding windows of three lines.
-Text surges where a window reaches ``SURGE``; it starts with the weighty lines right before that and dives
-where a whole window weighs nothing. The weighty lines between are the main text.
+Markup is stripped into lines, one for each block element, and every line weighs as much as it has characters of text
+outside links. What a page says about itself changes that: lines in a script, style, head, menu, header, footer, sidebar,
+form, advert, notice or comment section weigh nothing; if there is an article or main element, lines outside weigh a tenth, and
+nothing if that is below ``SURGE``. Lines of links alone weigh nothing, but in an article or main element
+they weigh their text where they are paragraphs or headings or fewer than a window of them stand together.
+Weights are summed over sliding windows of three lines. Text surges where a window reaches ``SURGE``, in an article or
+main element ``RESUME``; it starts with the weighty lines right before that and dives where a whole window
+weighs nothing, there as elsewhere. The weighty lines between are the main text, without a copyright line at its end.
 
 Defined cases: a null or empty page has empty text; unclosed elements end with their parent; a page whose
-windows never reach ``SURGE`` surges at its heaviest window, all windows of that weight alike. A null page id
-stays null. Markup without an end is text; the work is linear in the page. Character references are
-decoded; white space in a block becomes one space. Other columns stay untouched.
+windows never reach ``SURGE`` surges at its heaviest window, all windows of that weight alike, and an article at
+a quarter of that. A null page id stays null. Markup without an end is text; the work is linear in the page. Character
+references are decoded; white space in a block becomes one space. Other columns stay untouched.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
+RESUME = 20
 OUTSIDE = 0.1
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"[>\"']")
@@ -43,12 +44,19 @@ ASIDE = frozenset(
     "navigation newsletter notice notices pagination popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 BESIDE = frozenset("area bar block body bottom box buttons container form global group holder inner item items left links list main middle outer page primary right secondary section site slot top unit wrap wrapper".split())
+#: Words that make a name of what readers and advertisers add, and whose it is or where it stands.
+ADDED = frozenset("ad ads advert advertisement comment comments popup promo promoted related replies reply respond responses share sharing social sponsor sponsored subscribe newsletter widget".split())
+OWNERS = frozenset("all article articles entry latest post posts reader readers recent stories story user users".split())
+#: Elements whose links are text and no menu.
+PROSE = HEADINGS | {"p", "blockquote", "figcaption", "pre"}
+COPYRIGHT = re.compile(r"(?:\u00a9|\(c\)|copyright)(?:\s*(?:\u00a9|\(c\)))?\s*\d{4}\b", re.I)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 
 
 def _names_aside(token: str) -> bool:
-    parts = re.findall(r"[a-z]+", token)
-    return any(p in ASIDE for p in parts) and all(p in ASIDE or p in BESIDE for p in parts)
+    parts = set(re.findall(r"[a-z]+", token))
+    plain = bool(parts & ASIDE) and parts <= ASIDE | BESIDE
+    return plain or token == "responses" or bool(parts & ADDED) and parts <= ADDED | BESIDE | OWNERS
 
 
 def _aside(tag: str, attributes: str, inside_main: bool) -> bool:
@@ -105,9 +113,9 @@ def markup(page: str) -> Iterator[tuple[str, str, bool, str]]:
     yield "".join([*parts, page[text_from:]]), "", False, ""
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
-    """Blocks of a page in order: text, whether in an aside, whether in an article or main, link text's length."""
-    out: list[tuple[str, bool, bool, int]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool, int, bool]]:
+    """Blocks of a page in order: text, whether in an aside, in an article or main, link text's length, whether prose."""
+    out: list[tuple[str, bool, bool, int, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, aside, main, link
     blocks: list[int] = []  # places of block elements in the stack
     open_: list[dict[str, int]] = [{}]  # inline elements since each of them
@@ -120,7 +128,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             _, aside, main, _ = stack[-1] if stack else ("", False, False, False)
-            out.append((text, aside, main, min(linked, len(text))))
+            out.append((text, aside, main, min(linked, len(text)), bool(blocks) and stack[blocks[-1]][0] in PROSE))
         parts.clear()
         linked = 0
 
@@ -166,42 +174,43 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     return out
 
 
-def weights_of(lines: list[tuple[str, bool, bool, int]]) -> list[float]:
+def weights_of(lines: list[tuple[str, bool, bool, int, bool]]) -> list[float]:
     """Weight of each line, as the module says."""
-    whole = any(main and not aside for _, aside, main, _ in lines)
+    whole = any(main and not aside for _, aside, main, *_ in lines)
     out: list[float] = []
     alone: list[int] = []  # lines of links since the last other line of the article
 
     def end_links() -> None:
         for k in alone if len(alone) < WINDOW else ():
-            out[k] = SURGE
+            out[k] = len(lines[k][0])
         alone.clear()
 
-    for k, (text, aside, main, linked) in enumerate(lines):
+    for k, (text, aside, main, linked, prose) in enumerate(lines):
         own = max(0, len(text) - linked)
         if aside:
             out.append(0)
-        elif main and not own:
+        elif main and not own and not prose:
             out.append(0)
             alone.append(k)
         elif main:
             end_links()
-            out.append(own + SURGE)
+            out.append(own or len(text))
         else:
             out.append(own if not whole else own * OUTSIDE if own * OUTSIDE >= SURGE else 0)
     end_links()
     return out
 
 
-def between_surge_and_dive(weights: list[float]) -> list[bool]:
-    """Which lines are main text, by the sums of their windows."""
+def between_surge_and_dive(weights: list[float], main: list[bool] | None = None) -> list[bool]:
+    """Which lines are main text, by the sums of their windows. ``main``: which lines are in an article or main element."""
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    least = min(SURGE, max(sums, default=0))
+    most = max(sums, default=0)
+    least, resumed = min(SURGE, most), min(RESUME, most / 4)
     kept, inside = [False] * len(weights), False
     for i, ahead in enumerate(sums):
         if ahead <= 0:
             inside = False
-        elif not inside and ahead >= least:
+        elif not inside and ahead >= (resumed if main and main[i] else least):
             inside = True
             k = i - 1
             while k >= 0 and weights[k] > 0 and not kept[k]:  # what led to the surge
@@ -213,8 +222,11 @@ def between_surge_and_dive(weights: list[float]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    kept = between_surge_and_dive(weights_of(lines))
-    return " ".join(text for (text, *_), keep in zip(lines, kept, strict=True) if keep)
+    kept = between_surge_and_dive(weights_of(lines), [main for _, _, main, *_ in lines])
+    texts = [text for (text, *_), keep in zip(lines, kept, strict=True) if keep]
+    if len(texts) > 1 and COPYRIGHT.match(texts[-1]):
+        texts.pop()
+    return " ".join(texts)
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "text") -> DataFrame:

@@ -12,6 +12,11 @@ a conversation of any length is formatted turn by turn.
 
 Control strings inside texts are broken by a backslash after their first character, and backslashes
 are doubled, by the filter ``guard``; reading a formatted conversation back undoes this.
+
+Defined cases: a null role or text counts as empty, and an empty role is written as one of its own. Turns are ordered by
+turn (null first), ties by role, then by text; rows that repeat are turns each. Rows without a conversation id
+form one conversation whose id is null. A conversation without an assistant has an empty loss text. An empty table gives an
+empty result, and other columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -38,7 +38,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", def
     """``pages`` with host, path, rule and verdict.
 
     ``rules``: host, path, verdict (allow or block). A rule fits its host and all subdomains where
-    the url's path starts with the rule's path. The verdict is the rule's, else ``default``.
+    the url's path starts with the rule's path. The verdict is the rule's, else ``default``. A null path is
+    empty; a rule with a null or empty host fits nothing and is left out; of rules with one host and path block wins.
     """
     clean = rules.select(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict"))
     clean = clean.where("rule_host <> ''").withColumn("rule_text", F.concat("rule_host", F.lit("\n"), "rule_path"))

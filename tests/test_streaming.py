@@ -101,3 +101,33 @@ def test_guard_finds_scores_and_escalates(spark, tmp_path):
     assert [(i, d) for i, d, _ in found] == [("1.1.1.1", "brute_force"), ("2.2.2.2", "scanner_sweep"), ("3.3.3.3", "injection_probe"), ("3.3.3.3", "injection_probe"), ("4.4.4.4", "blocked_ip")]
     assert {r["score"] for r in got if r["ip"] == "1.1.1.1"} == {40.0}
     assert [e for i, _, e in found if e] == ["high"] and max(r["score"] for r in got if r["ip"] == "3.3.3.3") > 59
+
+
+def test_the_hosted_guard_ends_in_one_audit_chain(spark, tmp_path):
+    import json
+
+    from tidemark.plans.versions import VersionedTable
+    from tidemark.streaming.guard import audited, hosted_guard, reputations
+    from tidemark.streaming.sinks import verify_chain
+
+    at = 1_700_000_040
+    rows = [("1.1.1.1", "POST", "/login", at + k, 200) for k in range(22)] + [("2.2.2.2", "GET", f"/q{k % 5}", at + k % 50, 500 if k % 3 else 200) for k in range(60)] + [("3.3.3.3", "GET", "/x", at + 1, 200)]
+    rows += [("4.4.4.4", "GET", f"/a{k % 7}", at + 120 + k % 55, 200) for k in range(3100)] + [("5.5.5.5", "GET", "/", at + 900, 200)]
+    df = spark.createDataFrame(rows, "ip string, method string, path string, s long, status int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    df.where(F.col("ts") < F.timestamp_seconds(F.lit(at + 600))).coalesce(1).write.parquet(str(tmp_path / "in"))
+    df.where(F.col("ts") > F.timestamp_seconds(F.lit(at + 600))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    reports = spark.createDataFrame([("3.3.3.3", f"list {k}") for k in range(3)] + [("2.2.2.2", "list 0"), ("2.2.2.2", "list 0"), (None, "x")], "ip string, source string")
+    assert {r["ip"]: (r["sources"], r["threat"], r["blocked"]) for r in reputations(reports).collect()} == {"3.3.3.3": (3, "high", True), "2.2.2.2": (1, "low", False)}
+    audit = VersionedTable(spark, str(tmp_path / "audit"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "10 seconds")
+    running = [w.trigger(availableNow=True).start() for w in hosted_guard(stream, audit, str(tmp_path / "cp"), reports=reports)]
+    for q in running:
+        q.awaitTermination()
+    log = audit.read()
+    found = [json.loads(r["body"]) for r in log.collect()]
+    assert verify_chain(log.withColumn("log", F.lit("l"))).count() == 0
+    assert {(f.get("ip"), f["detector"]) for f in found} >= {("1.1.1.1", "brute_force"), ("3.3.3.3", "blocked_ip"), (None, "error_spike"), (None, "rate_spike")}
+    n = len(found)
+    first = next(f for f in found if f["query"] == "guard")
+    audited(audit, "guard")(spark.createDataFrame([("9.9.9.9", "again")], "ip string, detector string"), first["epoch"])  # a repeated epoch adds nothing
+    assert audit.read().count() == n

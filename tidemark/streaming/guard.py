@@ -6,7 +6,6 @@ forms are in ``operators.windows``. Late rows beyond the watermark are dropped.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.severity import WATCH_POINTS
 from tidemark.operators.windows import entries
+from tidemark.plans.versions import VersionedTable, append_chain
 from tidemark.sources.logs import parse_lines
 
 
@@ -75,6 +75,9 @@ def watch_scores(findings: DataFrame, ttl_seconds: int = 3600, high: float = 50,
     return findings.groupBy("ip").applyInPandasWithState(update, "ip string, ts timestamp, score double, escalation string", "last double, score double, told int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: What is kept of an address.
+GUARD_FIELDS = ("posts", "opened", "paths", "last", "score", "told")
+GUARD_STATE = "posts array<double>, opened double, paths array<string>, last double, score double, told int"
 #: What no path of a request should contain.
 PROBES = ("../", "/etc/passwd", "<script", "union select", "' or ", "${jndi:", "cmd.exe", "/wp-admin", "/.env", "%00")
 
@@ -97,7 +100,8 @@ def guarded(entries: DataFrame, *, seconds: int = 60, posts: int = 20, paths: in
         if state.hasTimedOut:
             state.remove()
             return
-        now = json.loads(state.get[0]) if state.exists else {"posts": [], "opened": None, "paths": [], "last": None, "score": 0.0, "told": 0}
+        now = dict(zip(GUARD_FIELDS, state.get, strict=True)) if state.exists else {"posts": [], "opened": None, "paths": [], "last": None, "score": 0.0, "told": 0}
+        now["posts"], now["paths"] = list(now["posts"]), list(now["paths"])
         out = []
         for ts, post, path, probe, listed in pd.concat(list(batches)).sort_values("ts", kind="stable")[["ts", "post", "path", "probe", "blocked"]].itertuples(index=False):
             at, found = ts.timestamp(), []
@@ -123,11 +127,60 @@ def guarded(entries: DataFrame, *, seconds: int = 60, posts: int = 20, paths: in
                 reached = 2 if now["score"] >= critical else 1 if now["score"] >= high else 0
                 told, now["told"] = now["told"], max(now["told"], reached)
                 out.append((key[0], ts, detector, round(now["score"], 6), ("high", "critical")[reached - 1] if reached > told else None))
-        state.update((json.dumps(now),))
+        state.update(tuple(now[f] for f in GUARD_FIELDS))
         state.setTimeoutTimestamp(max(int(at * 1000) + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["ip", "ts", "detector", "score", "escalation"]).astype({"detector": "object", "escalation": "object"})
 
-    return flags.groupBy("ip").applyInPandasWithState(update, "ip string, ts timestamp, detector string, score double, escalation string", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    return flags.groupBy("ip").applyInPandasWithState(update, "ip string, ts timestamp, detector string, score double, escalation string", GUARD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def traffic_spikes(entries: DataFrame, *, seconds: int = 60, rps: float = 50.0, least: int = 20, share: float = 0.4) -> DataFrame:
+    """(ts, detector, severity, value) of windows of all traffic: rate_spike, more than ``rps`` requests a second; error_spike,
+    more than ``share`` errors among more than ``least`` requests. ``ts`` is the window's end."""
+    w = entries.groupBy(F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 400).alias("errors"))
+    one = lambda when, name, severity, value: F.when(when, F.struct(F.lit(name).alias("detector"), F.lit(severity).alias("severity"), value.alias("value")))
+    found = F.array_compact(F.array(
+        one(F.col("n") > rps * seconds, "rate_spike", "high", F.round(F.col("n") / seconds, 6)),
+        one((F.col("n") > least) & (F.col("errors") > share * F.col("n")), "error_spike", "medium", F.round(F.col("errors") / F.col("n"), 6)),
+    ))
+    return w.select(F.col("w.end").alias("ts"), F.explode(found).alias("f")).select("ts", "f.*")
+
+
+def reputations(reports: DataFrame) -> DataFrame:
+    """(ip, sources, threat, blocked) of reports (ip, source): critical from five sources, high from three, which block."""
+    n = reports.where("ip is not null").groupBy("ip").agg(F.countDistinct("source").alias("sources"))
+    threat = F.when(F.col("sources") >= 5, "critical").when(F.col("sources") >= 3, "high").otherwise("low")
+    return n.select("ip", "sources", threat.alias("threat"), (F.col("sources") >= 3).alias("blocked"))
+
+
+def audited(table: VersionedTable, name: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that adds each row to a hash-chained audit table, once, whoever else writes to it.
+
+    Entries are JSON with the query's ``name`` and epoch; an epoch that is in the table is not added again.
+    """
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        before = table.read()
+        mark = f'{{"query":"{name}","epoch":{epoch},'
+        if before is not None and not before.where(F.col("body").startswith(mark)).isEmpty():
+            return
+        columns = [F.lit(name).alias("query"), F.lit(epoch).alias("epoch"), *batch.columns]
+        rows = batch.select(F.to_json(F.struct(*columns)).alias("body"), *(["ts"] if "ts" in batch.columns else []))
+        order = F.struct(*(["ts"] if "ts" in batch.columns else []), "body")
+        if not rows.isEmpty():
+            append_chain(table, rows.select(order.alias("nth"), "body"))
+
+    return each
+
+
+def hosted_guard(entries: DataFrame, audit: VersionedTable, checkpoint: str, *, reports: DataFrame | None = None, **options) -> list:
+    """The whole guard over entries with a watermark on ts: writers of two queries whose findings meet in one audit chain.
+
+    Findings of addresses (with blocking by ``reports``, watch scores and escalations) and of all traffic.
+    """
+    blocked = None if reports is None else reputations(reports).where("blocked")
+    parts = {"guard": guarded(entries, blocked=blocked, **options), "traffic": traffic_spikes(entries)}
+    return [df.writeStream.foreachBatch(audited(audit, name)).option("checkpointLocation", f"{checkpoint}/{name}") for name, df in parts.items()]
 
 
 def fan_out(stream: DataFrame, sinks: dict[str, tuple[Column, Callable[[DataFrame, int], None]]], checkpoint: str):

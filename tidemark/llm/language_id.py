@@ -109,7 +109,8 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n"))
     cuts = counts.select("lang", F.when(share >= 1, F.lit(2**63 - 1)).otherwise(F.floor((share - 0.5) * 2.0**64)).cast("long").alias("cut"))
-    near = rows.join(cuts, "lang").where("h <= cut")
+    # A row a language: as many as there are prototypes, which the driver holds anyway. Texts beyond the cut go unmoved.
+    near = rows.join(F.broadcast(cuts), "lang").where("h <= cut")
     order = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
     chosen = near.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= sample).select("lang", "text")
     # Eight parts, so at most eight vectors of a language for the driver.

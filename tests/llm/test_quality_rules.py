@@ -5,7 +5,7 @@ from collections import Counter
 
 import xxhash
 
-from tidemark.llm import queries
+from tidemark.llm import quality_rules, queries
 from tidemark.llm.quality_rules import judge
 
 SF = "/root/testdata/sf0.001"
@@ -120,3 +120,22 @@ def test_bad_words_in_long_texts_are_found(spark):
     toxic = [(1000 + i, text(bad)) for i in range(100)]
     got = {x["doc_id"]: x["kept"] for x in judge(spark.createDataFrame(clean + toxic, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(300)], "doc_id long")).collect()}
     assert sum(got[i] for i in range(1000, 1100)) <= 5 and sum(got[i] for i in range(600)) >= 594
+
+
+def test_every_trusted_document_counts(spark):
+    """More of them than a sample of 20,000 would hold, and than a broadcast takes."""
+    n, texts = 21_000, {0: "w", 1: "w v", 2: "v"}
+    rows = [(i, texts[i % 3]) for i in range(n)] + [(n + 1, "w u"), (None, "w"), (None, "v"), (5, "v w")]
+    got = judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in [*range(n), 3, n + 9, None]], "doc_id long"))
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["score"]) for r in got.collect()), key=str)
+    feats = {k: grams(t, 8192) for k, (_, t) in enumerate(rows)}
+    raw, good, all_, m = multinomials(feats, {k for k, (i, _) in enumerate(rows) if i is not None and i < n})
+    score = [round(sum(math.log((good[b] + 1) / (m + 8192)) - math.log((raw[b] + 1) / (all_ + 8192)) for b in g) / len(g), 6) for g in feats.values()]
+    want = sorted(((i is None, i or 0, len(t.split()), s) for (i, t), s in zip(rows, score, strict=True)), key=str)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
+
+
+def test_documents_dealt_to_trusted_ids_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "BROADCAST_TRUSTED", 0)
+    test_documents_match_brute_force(spark)
+    test_cases(spark)

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it kept, with the columns of ``documents``; the
 last one returns the packed pieces. ``run`` writes every stage as Parquet to the shared folder and the
-next one reads it back, so a lost executor never costs more than one stage.
+next one reads it back, so a lost executor never costs more than one stage. What a stage has written on
+the way is deleted as soon as what it decides is written.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
 from tidemark.llm.substring_dedup import cut_passages, repeated_passages
 from tidemark.plans.shipping import ship
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import scratch, stage
 from tidemark.plans.tables import table
 
 #: A document whose best cosine is below this is in none of the learned languages.
@@ -42,10 +43,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group with equal texts, also where rows share an id or have none."""
     ship(spark)
     first = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(False))
-    decided = exact_dedup(docs.where(~first), docs.where(first))
     id_, none, sha, less = free(docs.columns, "_id", "_none", "_sha", "_less")
     id_keys = [F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(none)]
-    kept = decided.where("kept").select(*id_keys, F.unhex("text_sha256").alias(sha)).distinct()
+    with scratch() as keep:
+        decided = exact_dedup(docs.where(~first), docs.where(first))
+        kept = keep(decided.where("kept").select(*id_keys, F.unhex("text_sha256").alias(sha)).distinct(), "one-of-equals")
     rows = docs.select("*", *id_keys, F.unhex(F.sha2(normalised(F.col("text")), 256)).alias(sha), (-F.char_length(F.coalesce("text", F.lit("")))).alias(less))
     return _one(rows.join(kept, [id_, none, sha], "left_semi"), [id_, none, sha], [less, *docs.columns]).select(*docs.columns)
 
@@ -66,14 +68,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     (key,) = free(docs.columns, "_key")
     keyed = _keyed(docs, key)
-    kept = near_dedup(keyed, id_col=key).where("kept").select(key).distinct()
+    with scratch() as keep:
+        kept = keep(near_dedup(keyed, id_col=key).where("kept").select(key).distinct(), "one-of-alike")
     return _one(keyed.join(kept, key, "left_semi"), [key], docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; documents of nothing else go."""
     ship(spark)
-    passages = stage(repeated_passages(docs), "passages")
+    with scratch() as keep:
+        passages = keep(repeated_passages(docs), "passages")
     cut = cut_passages(docs, passages).where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
@@ -95,5 +99,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as keep:
+            docs = keep(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

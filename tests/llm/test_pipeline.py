@@ -108,3 +108,11 @@ def test_clashing_columns_and_a_very_long_text(spark):
     assert set(got) == {1, 3, 4} and all(r["_key"] == f"_key {i}" and r["score"] == f"score {i}" for i, r in got.items())
     assert got[1]["text"] == rows[0][1] and got[3]["text"] == words(70_000, 70_050)
     assert {r["doc_id"] for r in corpus_pipeline.packed(spark, docs, SF).collect()} == {1, 3, 4}
+
+
+def test_texts_are_cut_once(spark):
+    """A second Python worker a core would stay, and remember words, in all later stages."""
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = corpus_pipeline.substrings(spark, docs, "")
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r["text"] for r in cut.collect()] == ["a b"]

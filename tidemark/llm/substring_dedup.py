@@ -669,5 +669,6 @@ def cut_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id"
             out.append("".join(kept).rstrip(" \t\n\x0b\x0c\r") if at else t)
         return pd.Series(out, dtype=object)
 
-    cut = F.when(F.col(own).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col(own)))
+    # Spark would repeat a deterministic function in each filter on its result, with a Python worker more a core.
+    cut = F.when(F.col(own).isNull(), F.col(text_col)).otherwise(without.asNondeterministic()(F.col(text_col), F.col(own)))
     return joined.select(*[cut.alias(c) if c == text_col else docs[c] for c in docs.columns])

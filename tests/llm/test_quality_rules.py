@@ -139,3 +139,14 @@ def test_documents_dealt_to_trusted_ids_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "BROADCAST_TRUSTED", 0)
     test_documents_match_brute_force(spark)
     test_cases(spark)
+
+
+def test_texts_are_hashed_by_word_and_pair_only(spark, monkeypatch):
+    """Windows of three are known from the hashes of their two pairs, without structs of words; scores are sorted as plain doubles."""
+    plans, stage = {}, quality_rules.stage
+    monkeypatch.setattr(quality_rules, "stage", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or stage(df, name))
+    df = spark.createDataFrame([(1, " a b\tc\x0b\x0ca b c\r\n"), (2, "a\u2003b \u0085 c")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_repeat_words"]) for r in judge(df, df.where("doc_id = 1").select("doc_id")).collect()}
+    assert got == {1: (6, 6, 6), 2: (3, 5, 0)}
+    assert "arrays_zip" not in plans["measured"] and plans["measured"].count("sort_array(transform(transform(_hashes") == 2
+    assert "AS _least" in plans["measured"]

@@ -40,7 +40,7 @@ WORST = 3
 BROADCAST_TRUSTED = 10_000  # ids
 SPREADS = 4
 WORST_SPREADS = 3.5
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -48,14 +48,14 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _tuples(words: Column, k: int) -> Column:
-    """Every run of k words, as structs."""
-    shifted = [words, *(F.slice(words, i + 1, F.greatest(F.size(words), F.lit(1))) for i in range(1, k))]
-    return F.slice(F.arrays_zip(*shifted), 1, F.greatest(F.size(words) - (k - 1), F.lit(0)))
+def _neighbours(values: Column) -> Column:
+    """Hash of each two adjacent values."""
+    n = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.zip_with(F.slice(values, 1, n), F.slice(values, 2, n), lambda a, b: F.xxhash64(a, b))
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def _covered(starts: Column) -> Column:
@@ -64,8 +64,8 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
 
-def repeated_words(words: Column) -> Column:
-    """Words in windows of three that occur at least twice."""
+def repeated_words(pairs: Column) -> Column:
+    """Words in windows of three that occur at least twice; ``pairs``: hashes of the pairs of adjacent words."""
 
     def of(hashes: Column) -> Column:
         def starts(s: Column) -> Column:
@@ -75,7 +75,7 @@ def repeated_words(words: Column) -> Column:
         placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(placed, starts))
 
-    return _let(F.transform(_tuples(words, 3), lambda t: F.xxhash64(t)), of)
+    return _let(_neighbours(pairs), of)
 
 
 def repeated_lines(text: Column) -> Column:
@@ -87,14 +87,8 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def buckets_of(words: Column, hashes: Column, buckets: int) -> Column:
-    """Buckets of all words and all pairs; a repeated n-gram repeats its bucket."""
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    two = F.transform(_tuples(words, 2), lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
-
-
-def word_buckets(hashes: Column, buckets: int) -> Column:
+def buckets_of(hashes: Column, buckets: int) -> Column:
+    """Bucket of each hash; a repeated n-gram repeats its bucket."""
     return F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
@@ -117,7 +111,7 @@ def _base(docs: DataFrame, text: Column) -> DataFrame:
             "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[#*$%&|<>]")).cast("long"),
             "n_dup_lines": repeated_lines(text).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
+            "n_repeat_words": repeated_words(F.col("_pairs")).cast("long"),
         }
     )
     return measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -143,11 +137,12 @@ def judge(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_c
         return found.withColumn("_trusted", F.coalesce("_trusted", F.lit(0)))
 
     def hashed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_words", words_of(text)).withColumn("_hashes", _hashes(F.col("_words")))
+        return df.withColumn("_words", words_of(text)).withColumns({"_hashes": _hashes(F.col("_words")), "_pairs": _neighbours(F.col("_words"))})
 
+    grams_of = buckets_of(F.concat("_hashes", "_pairs"), buckets)
     # Distinct words are counted behind the n-grams, from bucket number `buckets` on.
-    single = F.transform(F.array_distinct(word_buckets(F.col("_hashes"), words_into)), lambda b: b + F.lit(buckets))
-    grams = hashed(marked(rows, F.xxhash64("_text"))).select(F.col("_trusted").alias("t"), F.explode(F.concat(buckets_of(F.col("_words"), F.col("_hashes"), buckets), single)).alias("b"))
+    single = F.transform(F.array_distinct(buckets_of(F.col("_hashes"), words_into)), lambda b: b + F.lit(buckets))
+    grams = hashed(marked(rows, F.xxhash64("_text"))).select(F.col("_trusted").alias("t"), F.explode(F.concat(grams_of, single)).alias("b"))
     counts = {r["b"]: (r["n"], r["t"]) for r in grams.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).collect()}  # at most buckets + words_into rows
     wanted = any(t for _, t in counts.values())
     ratio = _table(_ratios(counts, 0, buckets) if wanted else [0.0] * buckets)
@@ -157,14 +152,14 @@ def judge(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_c
     def mean(values: Column, of: Callable[[Column], Column] = lambda x: x) -> Column:
         return F.when(F.size(values) > 0, F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x)) / F.size(values), 6)).otherwise(F.lit(0.0))
 
-    def worst(table: Column) -> Column:
-        single = F.transform(word_buckets(F.col("_hashes"), words_into), lambda b: F.get(table, b))
-        return _let(F.slice(F.sort_array(single), 1, worst_of), lambda ratios: mean(ratios))
+    def least(table: Column) -> Column:
+        # Without nulls and outside of lambdas, so the doubles are sorted as such.
+        return F.slice(F.sort_array(F.transform(buckets_of(F.col("_hashes"), words_into), lambda b: F.coalesce(F.get(table, b), F.lit(0.0)))), 1, worst_of)
 
     # Every text is scored once, as an unknown and as a trusted one; which of them it is joins these few numbers, not the text.
-    every = buckets_of(F.col("_words"), F.col("_hashes"), buckets)
-    scores = {"score": _let(every, lambda grams: mean(grams, lambda b: F.get(ratio, b))), "worst": worst(of_words[0]), "worst_known": worst(of_words[1])}
-    measured = _base(hashed(rows), text).withColumns(scores).drop("_text", "_words", "_hashes")
+    scores = {"score": _let(grams_of, lambda grams: mean(grams, lambda b: F.get(ratio, b))), "_least": least(of_words[0]), "_least_known": least(of_words[1])}
+    measured = _base(hashed(rows), text).withColumns(scores).withColumns({"worst": mean(F.col("_least")), "worst_known": mean(F.col("_least_known"))})
+    measured = measured.drop("_text", "_words", "_hashes", "_pairs", "_least", "_least_known")
     judged = marked(stage(measured, "measured"), F.xxhash64("n_words", "word_chars", "score", "worst")).withColumn("worst", F.when(F.col("_trusted") == 1, F.col("worst_known")).otherwise(F.col("worst")))
 
     fine = ~F.col("base_failed")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import combinations, nnls, pack, plan
+from tidemark.llm.packing import combinations, encoder, nnls, pack, plan
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,3 +83,16 @@ def test_lengths_that_no_others_complete_are_cut(spark):
     assert n <= -(-tokens // 1024) + 4
     by_doc = Counter(p["doc_id"] for p in got)
     assert max(by_doc.values()) <= 2
+
+
+def test_words_that_come_once_take_no_memory():
+    """Two workers an executor with a million entries each made the pipeline's highest real memory."""
+    encode, text = encoder(PATH), "qzxa qzxb qzxc\nqzxd qzxb qzxe\nqzxd qzxb"
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        encode.later.clear()
+        encode.first.clear()
+        encode.later.seen[:] = bytes(len(encode.later.seen))
+        assert np.frombuffer(encode(text), dtype="<u4").tolist() == want
+        assert set(encode.later) == {"qzxb"}
+    assert "qzxd" in encode.first

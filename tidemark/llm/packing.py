@@ -51,7 +51,7 @@ def encoder(path: str) -> ChunkEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _ENCODERS[path] = ChunkEncoder(lambda s: array("I", tokenizer.encode(s, add_special_tokens=False).ids).tobytes(), most=KNOWN_WORDS)
+        _ENCODERS[path] = ChunkEncoder(lambda s: array("I", tokenizer.encode(s, add_special_tokens=False).ids).tobytes(), most=KNOWN_WORDS, twice=True)
     return _ENCODERS[path]
 
 

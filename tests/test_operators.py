@@ -1,11 +1,17 @@
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import graph
 from tidemark.operators.chains import chain_links, exploit_chains, role, worst_chains
 from tidemark.operators.graph import closure, symbol_risk
 from tidemark.operators.ignores import glob_regex, ignore_comments, longest_match, suppress
 from tidemark.operators.joins import nearest
 from tidemark.operators.lifecycle import deltas, known_flags, merge_results, proximity_groups, upsert_snapshot
 from tidemark.operators.windows import decayed_scores, distinct_in_window, ewma_state
+from tidemark.plans.staging import stage
 from tidemark.sources.trees import import_edges
 
 
@@ -89,6 +95,30 @@ def test_closures_have_no_cap_and_risks_follow(spark):
     assert got == {5: (5, round(0.04 + 0.15 + 0.24, 6), "medium"), 6: (5, round(0.04 + 0.3 * (1 - (0.5 + 0.2) / 2) + 0.09, 6), "medium")}
 
 
+def uneven_graph(spark):
+    """A ring with ways in and out of it, a thin random graph, repeated and null edges, nodes with an edge to themselves only; and the pairs of its closure."""
+    rng = random.Random(5)
+    ring, tail = [(i, (i + 1) % 12) for i in range(12)], [(4, 20), (20, 21), (21, 22), (30, 31), (31, 7), (40, 41), (41, 40)]
+    thin = [(100 + rng.randrange(25), 100 + rng.randrange(25)) for _ in range(26)]
+    rows = [*ring, *tail, *thin, (20, 21), (50, 50), (21, 21), (None, 3), (60, None)]
+    pairs = {(u, v) for u, v in rows if u is not None and v is not None and u != v}
+    known = set(pairs)
+    while more := {(u, w) for u, v in known for x, w in pairs if v == x} - known:
+        known |= more
+    return spark.createDataFrame(rows, "src long, dst long"), {(u, v) for u, v in known if u != v}
+
+
+def test_dependents_are_counted_from_components(spark, monkeypatch):
+    df, known = uneven_graph(spark)
+    counts = Counter(v for _, v in known if v % 2 == 0)
+    assert tuples(graph.blast(df, "src % 2 = 0"), "node", "dependents", "risk") == sorted((v, n, "medium" if n <= 5 else "high") for v, n in counts.items())
+    written = []
+    monkeypatch.setattr(graph, "stage", lambda df, name: written.append((name, (out := stage(df, name)).count())) or out)
+    ring = spark.createDataFrame([(i, (i + k) % 600) for i in range(600) for k in (1, 7)], "src long, dst long")
+    assert tuples(graph.blast(ring).select("dependents").distinct(), "dependents") == [(599,)]
+    assert max(n for name, n in written if name != "edges") <= 600  # nodes, never pairs of them
+
+
 def test_relative_imports_resolve(spark):
     files = spark.createDataFrame([("web/a.ts", "typescript", "import x from './b'\nimport y from '../lib/c'\n"), ("web/b.ts", "typescript", ""), ("lib/c.js", "javascript", "")], "path string, language string, content string")
     assert tuples(import_edges(files), "src", "dst") == [("web/a.ts", "lib/c.js"), ("web/a.ts", "web/b.ts")]

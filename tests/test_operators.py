@@ -1,7 +1,6 @@
 import random
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph
@@ -119,6 +118,29 @@ def test_dependents_are_counted_from_components(spark, monkeypatch):
     assert max(n for name, n in written if name != "edges") <= 600  # nodes, never pairs of them
 
 
+def test_reach_walks_between_components_and_makes_all_pairs(spark, monkeypatch):
+    df, known = uneven_graph(spark)
+    for name, value in (("SOURCES", 3), ("TARGETS", 2), ("PAIRS", 20)):
+        monkeypatch.setattr(graph, name, value)
+    assert tuples(graph.reach(df), "src", "dst") == sorted(known)
+    assert tuples(graph.reach(df, spark.createDataFrame([(3,), (3,), (30,), (22,), (999,)], "src long")), "src", "dst") == sorted(p for p in known if p[0] in (3, 30))
+    assert graph.reach(df.where("src = dst")).count() == 0
+    monkeypatch.setattr(graph, "IN_TASK", 0)
+    assert tuples(graph.reach(df, "src % 3 = 0"), "src", "dst") == sorted(p for p in known if p[0] % 3 == 0)
+
+
+def test_pairs_of_a_large_component_are_made_once_by_many_tasks(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "stage", lambda df, name: written.append((name, (out := stage(df, name)).count())) or out)
+    monkeypatch.setattr(graph, "PAIRS", 20_000)
+    monkeypatch.setattr(graph, "TARGETS", 20)
+    df = spark.createDataFrame([(i, (i + k) % 600) for i in range(600) for k in (1, 7)], "src long, dst long")
+    out = graph.reach(df, "src % 2 = 0")
+    assert max(n for name, n in written if name != "edges") <= 600
+    assert out.groupBy("src").count().where("count <> 599").count() == 0 and out.distinct().count() == 300 * 599
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
 def test_relative_imports_resolve(spark):
     files = spark.createDataFrame([("web/a.ts", "typescript", "import x from './b'\nimport y from '../lib/c'\n"), ("web/b.ts", "typescript", ""), ("lib/c.js", "javascript", "")], "path string, language string, content string")
     assert tuples(import_edges(files), "src", "dst") == [("web/a.ts", "lib/c.js"), ("web/a.ts", "web/b.ts")]

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from tidemark.operators.graph import closure, symbol_risk
 from tidemark.operators.ignores import glob_regex, ignore_comments, longest_match, suppress
 from tidemark.operators.joins import nearest
 from tidemark.operators.lifecycle import deltas, known_flags, merge_results, proximity_groups, upsert_snapshot
-from tidemark.operators.windows import decayed_scores, distinct_in_window, ewma_state
+from tidemark.operators.reports import soak_windows
+from tidemark.operators.windows import decayed_scores, distinct_in_window, ewma_state, trailing_counts
 from tidemark.plans.staging import stage
 from tidemark.sources.trees import import_edges
 
@@ -79,6 +81,23 @@ def test_windows_and_folds(spark):
     assert tuples(decayed_scores(df, ["ip"], ["us"], "us", "value", 2 * s).where("ip = 'm'"), "score", "peak") == [(5.0, 5.0)]
 
 
+def test_trailing_counts_are_running_sums_over_spans(spark):
+    rng, span = random.Random(8), 10_000_000
+    times = [rng.choice([rng.randrange(-3 * span, 4 * span), rng.randrange(-3, 5) * span + rng.choice([-1, 0, 1]), None]) for _ in range(500)]
+    rows = [(i, rng.choice(["a", "b", None]), us, rng.choice([1.0, 50.0, None])) for i, us in enumerate(times)]
+    want = {}
+    for i, key, us, _ in rows:
+        near = [v for _, k, u, v in rows if k == key and (u is None if us is None else u is not None and us - span <= u <= us)]
+        want[i] = (len(near), sum(v == 50.0 for v in near))
+    df = spark.createDataFrame(rows, "id long, k string, us long, value double").repartition(3)
+    out = trailing_counts(df, "k", 10, {"n": F.lit(True), "slow": F.col("value") > 35})
+    assert out.columns == ["id", "k", "us", "value", "n", "slow"]
+    assert {r["id"]: (r["n"], r["slow"]) for r in out.collect()} == want
+    for plan in (out, soak_windows(spark, "/root/testdata/sf0.001")):  # a frame with a lower bound is read again for each row
+        frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+),", plan._jdf.queryExecution().optimizedPlan().toString())
+        assert frames and {low for _, low in frames} == {"unboundedpreceding$()"}
+
+
 def test_nearest_takes_the_earlier_at_ties(spark):
     rows = [(1, "k", 10, "e"), (2, "k", 5, "b"), (3, "k", 15, "b"), (4, "k", 100, "e"), (5, "k", 99, "b"), (6, "k", 99, "b"), (7, "z", 1, "e"), (8, "k", 0, "e")]
     df = spark.createDataFrame(rows, "id long, u string, us long, t string")

@@ -82,6 +82,24 @@ def distinct_in_window(rows: DataFrame, key: str, value: str, seconds: int = 60,
     return rows.join(running, [key, "us"]).where(F.col("n_values") >= least)
 
 
+def trailing_counts(rows: DataFrame, key: str, seconds: int, counted: dict[str, Column]) -> DataFrame:
+    """``rows`` (us) with the columns ``counted``: how many rows of their key in the last ``seconds`` meet each condition.
+
+    A key's time is cut into spans of ``seconds``. Inside one a row adds where it stands; what the span before held is there at
+    the start and leaves row by row as its time is up. Counts are running sums: no window is read again for each row, and
+    a key has a task for each span. Rows without time count those of their key without one.
+    """
+    length = seconds * 1_000_000
+    ones = {c: F.coalesce(met.cast("int"), F.lit(0)) for c, met in counted.items()}
+    own = rows.withColumns({**{f"_{c}": one for c, one in ones.items()}, "_start": F.col("us") - F.pmod("us", F.lit(length)), "_at": F.col("us"), "_own": F.lit(True)})
+    later = own.where("us is not null").select(key, (F.col("_start") + length).alias("_start"), "us", *[f"_{c}" for c in counted])
+    leaving = later.select(key, "_start", (F.col("us") + length + 1).alias("_at"), *[(-F.col(f"_{c}")).alias(f"_{c}") for c in counted])
+    before = later.groupBy(key, "_start").agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in counted]).withColumn("_at", F.col("_start"))
+    changes = own.unionByName(leaving, allowMissingColumns=True).unionByName(before, allowMissingColumns=True)
+    so_far = Window.partitionBy(key, "_start").orderBy("_at")
+    return changes.withColumns({c: F.sum(f"_{c}").over(so_far) for c in counted}).where("_own").select(*rows.columns, *counted)
+
+
 def trailing_rates(spark, sf_dir):
     """Events of a user in the last day: count and rate."""
     return rates(log(spark, sf_dir), "ip", DAY).select("event_id", "ip", "n", "rate")
